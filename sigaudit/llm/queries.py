@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .bpe_coding import op10_bpe_coding
+from .fingerprints import op7_fingerprints
 from .jaccard_join import op3_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
+from .quality_rules import op9_quality_rules
 from .secrets import op8_secrets
 
 QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_secrets": op8_secrets,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bpe_coding": op10_bpe_coding,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
