@@ -17,6 +17,7 @@ from .common import bound_batches, table
 SPACE = " \t\n\x0b\x0c\r"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 MIN_CHARS, MIN_DOCS = 40, 5
+SALTS = 16
 
 
 def line_key(line: str) -> str:
@@ -48,7 +49,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     hashed = given.select("doc_id", line_hashes(F.col("text"), min_chars).alias("keys"))
     lines = hashed.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
     common = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = lines.join(common, "key").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    # a line may be in a third of all documents: its rows meet its count in SALTS places
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    lost = salted.join(common, ["key", "salt"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
     @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
     def rebuilt(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from .bpe_coding import op10_bpe_coding
 from .fingerprints import op7_fingerprints
 from .jaccard_join import op3_jaccard_join
+from .language_id import op2_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
+from .quality_classifier import op1_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secrets import op8_secrets
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
