@@ -7,6 +7,7 @@ from .fingerprints import op7_fingerprints
 from .jaccard_join import op3_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .main_text import op6_main_text
 from .packing import op5_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_main_text": op6_main_text,
     "op7_fingerprints": op7_fingerprints,
     "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
