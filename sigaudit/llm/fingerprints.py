@@ -14,11 +14,11 @@ from .common import save, table
 from .quality_rules import SPACE, bind
 
 #: Words of a shingle; the share of hashes kept is 1 in 2 to the power SCALE; bits of a kept hash.
-WORDS, SCALE, BITS = 5, 2, 32
+WORDS, SCALE, BITS = 5, 2, 31
 
 
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted sketch of a text as array<bigint> of 32-bit values; empty for a text without words."""
+    """The sorted sketch of a text as array<bigint> of BITS-bit values; empty for a text without words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
     # a text of fewer than k words is one shingle: get() gives null beyond the end, which a hash passes over
     starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
@@ -29,7 +29,7 @@ def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
 
 def fingerprint(kept: Column) -> Column:
     """A sketch as text, eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), BITS // 4, "0")), "")
+    return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), -(-BITS // 4), "0")), "")
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -49,14 +49,14 @@ def union_sketch(a: Column, b: Column, scale: int = SCALE) -> Column:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """For distinct doc_id the next larger one, and for the largest the smallest: (doc_id, next_id). Ids are sorted by ranges; only
-    the first id of each range is looked at across ranges."""
+    """To distinct doc_id the next larger one as next_id, and to the largest the smallest; other columns stay. Ids are sorted by ranges;
+    only the first id of each range is looked at across ranges."""
     ranged, _ = save(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
     inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
     heads = ranged.groupBy("range").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("range")
     heads = heads.select("range", F.coalesce(F.lead("head").over(order), F.min("head").over(Window.partitionBy())).alias("head"))
-    return ranged.withColumn("next_id", inside).join(heads, "range").select("doc_id", F.coalesce("next_id", "head").alias("next_id"))
+    return ranged.withColumn("next_id", inside).join(heads, "range").withColumn("next_id", F.coalesce("next_id", "head")).drop("head", "range")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -67,15 +67,19 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     a row. Rows of null doc_id have no place in the order and are left out. A single document is its own next. An empty table gives no
     rows. Other columns, whatever their names, are not read.
     """
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("copies"))
-    order = following(docs.where("doc_id is not null").select("doc_id").distinct())
-    after = one.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    pair = one.join(order, "doc_id").join(after, "next_id")
+    given = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = given.groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    order = following(given.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most")))
+    # only the part of the next text that can be wanted travels to the document before it; the filter keeps both uses of `one` alike, so
+    # that texts are shuffled by doc_id once
+    before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("wanted_by"), F.floor(F.col("most") / 2).cast("int").alias("half"))
+    after = one.where("copies > 0").join(before, "doc_id").select("wanted_by", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), sketch(F.col("text")).cast("array<int>").alias("after"))
+    pair = one.join(after, F.col("doc_id") == F.col("wanted_by"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = pair.select("doc_id", "copies", n.cast("bigint").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    kept = both.select("doc_id", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), sketch(F.col("next_text")).alias("after"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half))
+    both = pair.select("doc_id", "copies", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "after")
+    kept = both.select("doc_id", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), F.col("after").cast("array<bigint>").alias("after"))
     out = kept.select(
         "doc_id", "copies", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("other")).alias("near_edited"), resemblance(F.col("own"), F.col("after")).alias("near_next"),
