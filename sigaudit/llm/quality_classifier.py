@@ -1,6 +1,6 @@
 """Operator 1: quality classifier on supervised subword embeddings.
 
-Words, word pairs and byte 3- and 5-grams are hashed to learned vectors; a document is the average of its vectors, and a softmax
+Words, word pairs and byte 3-grams are hashed to learned vectors; a document is the average of its vectors, and a softmax
 layer on it gives the label. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of
 labelled documents, whose features Spark computes. As the layer is linear, each vector is projected through it once before scoring.
 """
@@ -19,8 +19,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import bound_batches, held_out, slices, table, utf8
 from .words import hashes, is_space, mix, spans
 
-#: Labelled documents that training uses at most (those of the smallest id hashes), vectors, their length.
-SAMPLE, BUCKETS, DIMENSIONS = 3000, 1 << 14, 8
+#: Labelled documents that training uses at most (those of the smallest id hashes), vectors, their length, bytes of an n-gram.
+SAMPLE, BUCKETS, DIMENSIONS, GRAM = 2000, 1 << 14, 8, 3
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 500, 32, 200.0, 7
 #: Predicted 1 from this score on.
 CUT = 0.3
@@ -41,12 +41,12 @@ def features(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
         pair[h[:-1] == h[1:]] = SAME
         out.append((pair, np.stack([first[:-1], np.maximum(first[1:] - 1, first[:-1])])))
     plain = np.where(is_space(b), np.uint8(32), b).astype(np.uint64)
-    for n in (3, 5):
-        if len(plain) >= n:
-            code = plain[: len(plain) - n + 1].copy()
-            for k in range(1, n):
-                code = (code << np.uint64(8)) | plain[k : k + len(code)]
-            out.append((slot(mix(code + np.uint64(n << 56))), np.stack([np.minimum(at[:-1], len(code)), np.clip(at[1:] - n + 1, np.minimum(at[:-1], len(code)), len(code))])))
+    if len(plain) >= GRAM:
+        code = plain[: len(plain) - GRAM + 1].copy()
+        for k in range(1, GRAM):
+            code = (code << np.uint64(8)) | plain[k : k + len(code)]
+        from_ = np.minimum(at[:-1], len(code))
+        out.append((slot(mix(code + np.uint64(GRAM << 56))), np.stack([from_, np.clip(at[1:] - GRAM + 1, from_, len(code))])))
     return out
 
 
