@@ -21,7 +21,7 @@ from .html_blocks import Block, blocks
 #: Pages that the text classifier is fitted on, about; the log odds of a hint; the capacity of an edge at distance 0.
 SAMPLE, HINT, EDGE = 400, 9.0, 4.0
 #: Pull of the fit towards these weights: bias, log words, link share, sentence end, heading, list item, place (fixed values).
-PRIOR = np.array([-1.0, 0.8, -4.0, 1.0, 1.5, -0.5, 0.0])
+PRIOR = np.array([-0.5, 1.2, -4.0, 1.0, 1.5, -0.5, 0.0])
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -64,10 +64,10 @@ def edges(page: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(page):
         if i:
-            out.append((i - 1, i, EDGE / (1 + distance(page[i - 1], b))))
+            out.append((i - 1, i, EDGE * 0.5 ** distance(page[i - 1], b)))
         box = b.element.parent or b.element
         if box in last and last[box] != i - 1:
-            out.append((last[box], i, EDGE / 2))
+            out.append((last[box], i, EDGE / 4))
         last[box] = i
     return out
 
