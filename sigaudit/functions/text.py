@@ -11,12 +11,13 @@ from pyspark.sql.types import StringType
 STRESS_HIGH = frozenset(("hrv_mean_hr", "hrv_lf_hf", "eda_tonic_mean", "eda_tonic_std", "eda_phasic_std", "eda_scr_count", "eda_scr_amp_mean", "eda_level_mean", "eda_level_std"))
 CALM_HIGH = frozenset(("hrv_mean_nn", "hrv_sdnn", "hrv_rmssd", "hrv_pnn50", "hrv_hf"))
 
+#: Prompt templates in order of preference (fixed values).
 TEMPLATES = {
-    "minimal": "{examples}Signal: {body}\nAnswer with one letter. {choice}\nAnswer:",
-    "instruction": "Decide which state the signal shows. {choice}\n{examples}Signal: {body}\nAnswer:",
-    "clinical": "You read wearable recordings for a clinic. {choice}\n{examples}Recording: {body}\nThe state is:",
+    "instruction": "Classify this physiological recording.\n{choice}\n{exemplars}{body}\nAnswer:",
+    "clinical": "You are scoring a 60-second wearable window for a binary state.\n{choice}\n{exemplars}{body}\nAnswer:",
+    "minimal": "{choice}\n{exemplars}{body}\nAnswer:",
 }
-CHOICE = "A means calm, B means stress."
+CHOICE = "A = {a}. B = {b}. Answer with a single token, A or B."
 
 
 @F.pandas_udf(StringType())
@@ -56,14 +57,14 @@ def general(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None or v != v else f"{v:.4g}")
 
 
-def prompt(body: Column, template: str, examples: Column | None = None) -> Column:
+def prompt(body: Column, template: str, examples: Column | None = None, meanings: tuple[str, str] = ("calm", "stress")) -> Column:
     """A template with its body, and with examples: array of (body, token)."""
     if template not in TEMPLATES:
         raise ValueError(f"unknown template {template}")
-    before, _, after = TEMPLATES[template].replace("{choice}", CHOICE).partition("{body}")
-    head, _, tail = before.partition("{examples}")
-    shown = F.lit("") if examples is None else F.when(F.size(examples) > 0, F.concat(F.lit("Examples:\n"), F.array_join(F.transform(examples, lambda e: F.concat(e["body"], F.lit("\nAnswer: "), e["token"], F.lit("\n"))), ""))).otherwise("")
-    return F.concat(F.lit(head), shown, F.lit(tail), body, F.lit(after))
+    filled = TEMPLATES[template].replace("{choice}", CHOICE.format(a=meanings[0], b=meanings[1]))
+    head, _, rest = filled.partition("{exemplars}")
+    shown = F.lit("") if examples is None else F.when(F.size(examples) > 0, F.concat(F.lit("Examples:\n"), F.array_join(F.transform(examples, lambda e: F.concat(e["body"], F.lit("\nAnswer: "), e["token"], F.lit("\n"))), ""), F.lit("\n"))).otherwise("")
+    return F.concat(F.lit(head), shown, body, F.lit(rest.removeprefix("{body}")))
 
 
 def first_number(text: Column, digits: int = 18) -> Column:

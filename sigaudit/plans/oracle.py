@@ -53,7 +53,7 @@ BROKEN = SIG + ", " + DONORS.format(c="", p="", j="")
 PRESERVED = SIG + ", " + DONORS.format(c="y,", p="partition by y", j="and w.y = p.y")
 MID = "rank() over (partition by {k} order by {v}) + (count(*) over (partition by {k}, {v}) - 1) / 2.0::double"
 SWEEP = SCORED + f""", keyed as (select *, {bits("'cell'", "window_id")} % 6 as kk, 'd' || (cast(regexp_extract(subject, '(\\d+)$', 1) as int) % 3) as dataset from scored),
-cell as (select *, case kk % 3 when 0 then 'minimal' when 1 then 'instruction' else 'clinical' end as template_id, cast(case when kk < 3 then 0 else 4 end as int) as n_shot from keyed),
+cell as (select *, case kk % 3 when 0 then 'instruction' when 1 then 'clinical' else 'minimal' end as template_id, cast(case when kk < 3 then 0 else 4 end as int) as n_shot from keyed),
 sweep as (select dataset, template_id, n_shot, {f1()} as macro_f1 from (select dataset, template_id, n_shot, {counts()} from cell group by dataset, template_id, n_shot))"""
 
 
@@ -118,14 +118,14 @@ m as (select rep, subject, y as yp, row_number() over (partition by rep, subject
     "vote_vs_model": q(VOTES.format(sign=1), f", t as (select *, ({bits(chr(39) + 'model' + chr(39), 'window_id')} % 1000) / 1000.0::double as model from voted), r as (select *, {MID.format(k='subject', v='vote')} as ra, {MID.format(k='subject', v='model')} as rb from t) select subject, count(*) as n, round(avg(cast((vote > 0) = (model > 0.5) as int)), 6) as agreement, round(corr(ra, rb), 6) as spearman from r group by 1"),
     "argmax_label": q(SCORED, "select window_id, case when cast(window_id as bigint) % 11 <> 0 then cast(b > a as int) else -1 end as yhat from scored"),
     "condition_summary": q(SCORED, f", c as (select subject, count(*) filter (not failure) as n_scored, count(*) filter (failure) as n_failures, {counts()} from scored group by 1) select subject, n_scored, n_failures, round({f1()}, 6) as macro_f1 from c"),
-    "pick_winner": q(SWEEP, "select dataset, template_id, n_shot, round(macro_f1, 6) as macro_f1 from (select *, row_number() over (partition by dataset order by coalesce(macro_f1, -1) desc, n_shot, case template_id when 'minimal' then 1 when 'instruction' then 2 else 3 end) as r from sweep) where r = 1"),
+    "pick_winner": q(SWEEP, "select dataset, template_id, n_shot, round(macro_f1, 6) as macro_f1 from (select *, row_number() over (partition by dataset order by coalesce(macro_f1, -1) desc, n_shot, case template_id when 'instruction' then 1 when 'clinical' then 2 else 3 end) as r from sweep) where r = 1"),
     "lock_invariants": q(SWEEP, "select 'duplicate' as problem, dataset as detail from sweep group by dataset having count(*) > 1 union all select 'no score', dataset from sweep where macro_f1 is null union all select 'count', cast(count(*) as varchar) from sweep having count(*) <> 3"),
     "first_number_mae": q(ANCHOR, "select label, count(*) as n, count(pred) as parsed, count(*) - count(pred) as failures, round(avg(abs(pred - label)), 6) as mae from preds group by label"),
     "label_distribution": q(ANCHOR, "select label, count(*) as n, round(avg(abs(3 - label)), 6) as constant_mae from anchor group by label"),
     "bracket_list_mean": q(SAMPLES, "select recording, count(*) as n, round(avg(round(v, 2)), 4) as mean from samples group by 1"),
     "seed_aggregate": q(ANCHOR, ", p as (select doc_id % 3 as seed, avg(abs(pred - label)) as mae from preds group by 1) select count(*) as seeds, round(avg(mae), 6) as mean, round(coalesce(stddev_samp(mae), 0), 6) as sd from p"),
     "verbalize_logic": q(MATRIX, "select window_id, case when f_mean is null then 'unavailable' when f_mean > median_f_mean then 'elevated' else 'reduced' end as state_f_mean, case when f_sd is null then 'unavailable' when f_sd > median_f_sd then 'elevated' else 'reduced' end as state_f_sd from m15 join med on subject = test_subject"),
-    "prompt_render": q(SIG, "select window_id, 'Decide which state the signal shows. A means calm, B means stress.' || chr(10) || 'Examples:' || chr(10) || 'first' || chr(10) || 'Answer: A' || chr(10) || 'second' || chr(10) || 'Answer: B' || chr(10) || 'Signal: subject ' || subject || ' part ' || seg_name || chr(10) || 'Answer:' as prompt from sig"),
+    "prompt_render": q(SIG, "select window_id, 'Classify this physiological recording.' || chr(10) || 'A = calm. B = stress. Answer with a single token, A or B.' || chr(10) || 'Examples:' || chr(10) || 'first' || chr(10) || 'Answer: A' || chr(10) || 'second' || chr(10) || 'Answer: B' || chr(10) || chr(10) || 'subject ' || subject || ' part ' || seg_name || chr(10) || 'Answer:' as prompt from sig"),
     "card_primary": q(CELLS, f"select setup, rung, round(macro_f1, 6) as macro_f1, round(macro_f1_surr, 6) as macro_f1_surr, round(macro_f1 - macro_f1_surr, 6) as delta, round(case when is_null then {GATED} end, 6) as sds, case when macro_f1_surr is null then 'missing surrogate cell' when not is_null then 'descriptive' when ci_lo > chance then 'ratio' else 'undefined (validity gate)' end as status from cells left join rungs using (setup)"),
     "card_secondary": q(CELLS, "select setup, rung, round(cells.ba, 6) as ba, round(ba_surr, 6) as ba_surr, round(case when cells.ba > 0.5 then (cells.ba - ba_surr) / (cells.ba - 0.5) end, 6) as sds_ba from cells join rungs using (setup)"),
     "card_heatmap_pivot": q(CELLS, f", v as (select setup, rung, {GATED} as sds from cells left join rungs using (setup)) select setup, round(max(sds) filter (rung = 'gaussian'), 6) as gaussian, round(max(sds) filter (rung = 'iaaft'), 6) as iaaft from v group by 1"),

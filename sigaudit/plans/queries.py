@@ -369,7 +369,7 @@ def condition_summary(s, d):
     return c.select("subject", "n_scored", "n_failures", r6("macro_f1", "macro_f1"))
 
 
-TEMPLATES = ["minimal", "instruction", "clinical"]
+TEMPLATES = list(text.TEMPLATES)
 
 
 def _sweep(s, d):

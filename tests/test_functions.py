@@ -89,3 +89,15 @@ def test_signal_kernels():
     assert dsp.breath(np.sin(2 * np.pi * 0.25 * t), 50)["resp_rate_mean"] == pytest.approx(15, abs=0.5)
     f, p = dsp.welch(np.sin(2 * np.pi * 0.25 * np.arange(512) / 4), 4.0)
     assert f[p.argmax()] == pytest.approx(0.25, abs=0.02)
+
+
+def test_sensor_texts(spark):
+    from sigaudit.functions import anchor_text as a
+
+    body = "x [Steps]: [100, 300] : [20,20] [Resting Heart Rate]: [60, 70] [SleepMinutes]: [400, 500] [Mood]: 3 out of 5"
+    ask = lambda f, t=body: one(spark, f(F.col("t")), t=t)
+    assert "Steps: 200.0 steps, Burned Calories: 20.0 calories, Resting Heart Rate: 65.00 beats/min, Sleep Minutes: 450.0 minutes, Mood: 3 out of 5." in ask(a.averaged_question)
+    assert "Resting Heart Rate: [60.00, 70.00] beats/min" in ask(a.listed_question) and "[Steps]: [100.0, 300.0] steps" in ask(a.case_question)
+    assert one(spark, a.framed(F.lit("Q"), "### ")).startswith("### Instruction: ") and one(spark, a.framed(F.lit("Q"))).endswith("Question: Q\nResponse:")
+    with pytest.raises(Exception, match="no Steps list"):
+        ask(a.averaged_question, "nothing")
