@@ -12,7 +12,7 @@ from .text import bracket_list
 #: List name in a sensor text (spelt as the released texts spell it), name shown, decimals, unit (fixed values).
 SENSORS = (
     ("Steps", "Steps", 1, "steps"),
-XX Calories", 1, "calories"),
+    ("Burned Calorories", "Burned Calories", 1, "calories"),
     ("Resting Heart Rate", "Resting Heart Rate", 2, "beats/min"),
     ("SleepMinutes", "Sleep Minutes", 1, "minutes"),
 )

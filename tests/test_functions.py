@@ -94,7 +94,7 @@ def test_signal_kernels():
 def test_sensor_texts(spark):
     from sigaudit.functions import anchor_text as a
 
-    body = "x [Steps]: [100, 300] : [20,20] [Resting Heart Rate]: [60, 70] [SleepMinutes]: [400, 500] [Mood]: 3 out of 5"
+    body = "x [Steps]: [100, 300] [Burned Calorories]: [20,20] [Resting Heart Rate]: [60, 70] [SleepMinutes]: [400, 500] [Mood]: 3 out of 5"
     ask = lambda f, t=body: one(spark, f(F.col("t")), t=t)
     assert "Steps: 200.0 steps, Burned Calories: 20.0 calories, Resting Heart Rate: 65.00 beats/min, Sleep Minutes: 450.0 minutes, Mood: 3 out of 5." in ask(a.averaged_question)
     assert "Resting Heart Rate: [60.00, 70.00] beats/min" in ask(a.listed_question) and "[Steps]: [100.0, 300.0] steps" in ask(a.case_question)
