@@ -90,16 +90,43 @@ def indexed(stats: DataFrame, key: str = "subject") -> DataFrame:
     return stats.withColumn("idx", F.row_number().over(Window.orderBy(key)) - 1).withColumn("n_keys", F.count("*").over(Window.partitionBy()))
 
 
-def bootstrap(stats: DataFrame, sums: list[str], reps: int, seed: int, key: str = "subject") -> DataFrame:
-    """Cluster bootstrap on sufficient statistics: per replicate the sums over as many keys as there are, drawn with replacement. Work
-    grows with replicates times subjects, not rows."""
+def bootstrap_draws(stats: DataFrame, reps: int, seed: int, key: str = "subject") -> DataFrame:
+    """Per replicate as many rows of stats (a row a subject) as there are, drawn with replacement: stats with rep."""
     spark = stats.sparkSession
     rows = indexed(stats, key)
     size = rows.agg(F.first("n_keys").alias("n_keys"))
     reps_ = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size))
     draws = reps_.select("rep", "n_keys", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_keys") - 1)).alias("k"))
-    draws = draws.select("rep", draw(F.col("n_keys"), seed, F.col("rep"), F.col("k")).alias("idx"))
-    return draws.join(rows.select("idx", *sums), "idx").groupBy("rep").agg(*(F.sum(c).alias(c) for c in sums))
+    return draws.select("rep", draw(F.col("n_keys"), seed, F.col("rep"), F.col("k")).alias("idx")).join(rows.drop("n_keys"), "idx")
+
+
+def bootstrap(stats: DataFrame, sums: list[str], reps: int, seed: int, key: str = "subject") -> DataFrame:
+    """Cluster bootstrap on sufficient statistics: per replicate the sums over as many keys as there are, drawn with replacement. Work
+    grows with replicates times subjects, not rows."""
+    return bootstrap_draws(stats, reps, seed, key).groupBy("rep").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def pair_wins(rows: DataFrame, score: str, key: str = "subject") -> DataFrame:
+    """(s, t, won): how often a positive row of s scores above a negative one of t, ties counting one half. The area under the ROC curve
+    of any draw of subjects is a form in these numbers, so a bootstrap never goes back to the rows."""
+    pos = rows.where("y = 1").groupBy(F.col(key).alias("s"), score).agg(F.count("*").alias("pos"))
+    neg = rows.where("y = 0").groupBy(F.col(key).alias("t"), score).agg(F.count("*").alias("neg"))
+    each = neg.select("t").distinct()
+    events = pos.crossJoin(F.broadcast(each)).withColumn("neg", F.lit(0).cast("bigint")).unionByName(neg.withColumn("s", F.lit(None).cast("string")).withColumn("pos", F.lit(0).cast("bigint")))
+    at_most, ties = F.sum("neg").over(Window.partitionBy("t").orderBy(score)), F.sum("neg").over(Window.partitionBy("t", score))
+    return events.withColumn("won", F.col("pos") * (at_most - ties / 2.0)).where("s is not null").groupBy("s", "t").agg(F.sum("won").alias("won"))
+
+
+def auroc_bootstrap(rows: DataFrame, score: str, reps: int, seed: int, key: str = "subject") -> DataFrame:
+    """(rep, auroc) of subjects drawn with replacement; null where a draw lacks a class."""
+    stats = rows.groupBy(key).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    drawn = bootstrap_draws(stats, reps, seed, key)
+    times = drawn.groupBy("rep", key).agg(F.count("*").alias("c"), F.first("pos").alias("pos"), F.first("neg").alias("neg"))
+    sizes = times.groupBy("rep").agg(F.sum(F.col("c") * F.col("pos")).alias("p"), F.sum(F.col("c") * F.col("neg")).alias("n"))
+    a = times.select("rep", F.col(key).alias("s"), F.col("c").alias("cs"))
+    b = times.select("rep", F.col(key).alias("t"), F.col("c").alias("ct"))
+    won = a.join(pair_wins(rows, score, key), "s").join(b, ["rep", "t"]).groupBy("rep").agg(F.sum(F.col("cs") * F.col("ct") * F.col("won")).alias("w"))
+    return sizes.join(won, "rep", "left").select("rep", (F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auroc"))
 
 
 def interval(reps: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:

@@ -98,6 +98,11 @@ select u.recording, round(case when n >= 4 then m end, 6) as hrv_mean_nn, round(
     "auroc_by_subject": q(SCORED, f", r as (select subject, y, {MID.format(k='subject', v='m')} as r from (select *, round(margin, 9) as m from ok)), g as (select subject, count(*) filter (y = 1) as n_pos, count(*) filter (y = 0) as n_neg, sum(r) filter (y = 1) as sr from r group by 1) select subject, n_pos, n_neg, round((sr - n_pos * (n_pos + 1) / 2.0::double) / nullif(cast(n_pos * n_neg as double), 0), 6) as auroc from g"),
     "margin_gate": q(SCORED, "select subject, count(*) as n, round(stddev_pop(margin), 6) as sd, count(*) >= 2 and stddev_pop(margin) > 0.126 as varies from ok group by 1"),
     "bootstrap_ci_macro_f1": q(SCORED, f", st as (select subject, {counts()} from ok group by 1), {SUBJECTS}, r as (select rep, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tn) as tn from draws join idx using (idx) group by rep), v as (select {f1()} as v from r) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
+    "auroc_ci": q(SCORED, f""", st as (select subject, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from ok group by 1), idx as (select *, row_number() over (order by subject) - 1 as idx, count(*) over () as n_keys from st),
+draws as (select rep, {bits('1337', 'rep', 'k')} % n_keys as idx from (select unnest(generate_series(0, 299)) as rep) cross join (select idx as k, n_keys from idx)), t as (select rep, subject, count(*) as c, any_value(pos) as pos, any_value(neg) as neg from draws join idx using (idx) group by 1, 2),
+w as (select a.subject as s, b.subject as t, sum(case when round(a.margin, 9) > round(b.margin, 9) then 1.0 when round(a.margin, 9) = round(b.margin, 9) then 0.5 else 0 end)::double as won from ok a join ok b on a.y = 1 and b.y = 0 group by 1, 2),
+z as (select rep, cast(sum(c * pos) as double) * cast(sum(c * neg) as double) as pn from t group by 1), u as (select a.rep, sum(a.c * b.c * w.won) as u from t a join t b on a.rep = b.rep join w on w.s = a.subject and w.t = b.subject group by 1), v as (select u / nullif(pn, 0) as v from z left join u using (rep))
+select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"""),
     "paired_delta_ci": q(SCORED, f", st as (select subject, {counts()}, {counts('y', 'yhat2', '2')} from ok group by 1), {SUBJECTS}, r as (select rep, " + ", ".join(f"sum({n}) as {n}" for n in "tp fp fn tn tp2 fp2 fn2 tn2".split()) + f" from draws join idx using (idx) group by rep), v as (select {f1()} - {f1('2')} as v from r) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
     "flip_rate_ci": q(SCORED, f", st as (select subject, sum(cast(yhat <> yhat2 as int)) as flips, count(*) as n from ok group by 1), {SUBJECTS}, v as (select rep, sum(flips) / cast(sum(n) as double) as v from draws join idx using (idx) group by rep) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
     "flip_rates": q(SCORED, "select subject, count(*) as n, round(avg(cast(yhat <> yhat2 as int)), 6) as flip_rate from ok group by rollup (subject)"),

@@ -204,6 +204,11 @@ def bootstrap_ci_macro_f1(s, d):
     return metrics.interval(reps, metrics.macro_f1()).select(r6("ci_lo", "ci_lo"), r6("ci_hi", "ci_hi"), "reps")
 
 
+def auroc_ci(s, d):
+    rows = metrics.usable(src.scored(s, d)).withColumn("m", F.round(metrics.margin(), 9))
+    return metrics.interval(metrics.auroc_bootstrap(rows, "m", 300, SEED), F.col("auroc")).select(r6("ci_lo", "ci_lo"), r6("ci_hi", "ci_hi"), "reps")
+
+
 def paired_delta_ci(s, d):
     a = report.aligned(src.scored(s, d), src.scored(s, d, True))
     c = a.groupBy("subject").agg(*metrics.confusion(), *(x.alias(n) for x, n in zip(metrics.confusion("y", "yhat_surr"), ("tp2", "fp2", "fn2", "tn2"), strict=True)))
