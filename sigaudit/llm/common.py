@@ -41,6 +41,8 @@ def save(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of finished jobs are deleted when the driver's JVM collects its garbage: do that now, as they may be large
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,7 +5,8 @@
    share go last). So classes meet in cells, one a shared prefix token, and no link is lost.
 3. Cells are joined by signature trees, in two rounds. First each class goes only to its first shared token's cell, split into
    bounded blocks that all hold the cell's smallest class: this finds most links and so most components. Then every cell that
-   still holds several components is searched in full, all pairs of blocks, for links between different components.
+   still holds several components is searched in full, all pairs of blocks, for links between different components: by bitmaps
+   first, and then with the texts of the rows that those can't rule out.
 Links inside a component are never listed, so a group of copies costs its size and not its square.
 """
 
@@ -21,13 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, drop, save, slices, table, utf8
 from .components import components
-from .signature_tree import tree_links
+from .signature_tree import bitmap, tree_labels, tree_pairs, width_for
 from .words import shingles
 
 #: Tokens put last in the order, at most; and in how many prefixes one must be found for that. Any choice gives the same links.
-COMMON, COMMON_FROM = 50_000, 256
-#: Shingles in one block of a cell.
-BLOCK = 1 << 20
+COMMON, COMMON_FROM = 50_000, 16
+#: Weight of one block of a cell: each set counts its shingles and ROW, so that a block has a thousand sets at most.
+BLOCK, ROW = 1 << 20, 1 << 10
 
 
 def _tokens(x: np.ndarray) -> np.ndarray:
@@ -35,7 +36,7 @@ def _tokens(x: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
-    """doc_id, n, set_key (equal for equal sets only), prefix (tokens)."""
+    """doc_id, n, set_key (equal for equal sets only), prefix (tokens), bits (the token bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,53 +54,135 @@ def prefixes(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFra
                     found.append(tokens[: len(x) + (-percent * len(x) // 100) + 1] if len(x) else tokens)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))],
-                    ["doc_id", "n", "set_key", "prefix"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())), pa.array([bitmap(x, width_for(len(x))).tobytes() if len(x) else None for x in sets], pa.binary())],
+                    ["doc_id", "n", "set_key", "prefix", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, set_key binary, prefix array<int>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, set_key binary, prefix array<int>, bits binary")
 
 
-def _join_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """rows: token, one, two (the block pair; one = two: a block with itself), side, component, doc_id, text. Links (a, b) found by a
-    tree in each block or pair of blocks. Rows of a block are streamed together; a block is bounded, a partition need not be."""
+#: Bits of the filter that keeps most texts of no interest from being shuffled: its size does not depend on the data.
+FILTER = 1 << 23
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) without most rows whose doc_id is not in ids: a Bloom filter of FILTER bits, put together by Spark."""
+    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = ids.select(bit().alias("b")).select((F.col("b") / 64).cast("bigint").alias("word"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    filled = np.zeros(FILTER // 64, np.int64)
+    filled[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(2).to_numpy()
+            hit = (sent.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", bit().alias("b")).mapInArrow(run, "doc_id bigint, text string")
+
+
+KEYS = ["token", "one", "two"]
+
+
+def _by_block(rows: DataFrame, columns: list[str], work, kind: str) -> DataFrame:
+    """work(key, rows) over the rows of each (token, one, two), which are streamed together: a block is bounded, a partition need not
+    be. work gives tuples of kind."""
+    schema = rows.sparkSession.createDataFrame([], kind).schema
+    arrow = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
-        def links(block: list[tuple]) -> list[tuple[int, int]]:
-            if len(block) < 2 or len({x[0] for x in block}) < 2:
-                return []
-            texts = pa.array([x[3] for x in block], pa.large_string())
-            raw, at = utf8(texts)
-            sets = [s for lo, hi in slices(at) for s in shingles(raw, at[lo : hi + 1], k)]
-            comp = np.unique([x[1] for x in block], return_inverse=True)[1]
-            side = np.array([x[2] for x in block])
-            found = tree_links(sets, comp, percent, side if side.any() else None)
-            return [(block[a][0], block[b][0]) for a, b in found]
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(arrow)], names=schema.names)
 
         for batch in batches:
-            out = []
-            keys = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True))
-            sides, comps, ids, texts = (batch.column(c).to_pylist() for c in (3, 4, 5, 6))
-            for x, row in zip(keys, zip(ids, comps, sides, texts, strict=True), strict=True):
+            out: list[tuple] = []
+            lists = [c.to_pylist() for c in batch.columns]
+            for x, row in zip(zip(*lists[:3], strict=True), zip(*lists[3:], strict=True), strict=True):
                 if x != key:
-                    out += links(held)
+                    out += work(key, held) if len(held) > 1 else []
                     key, held = x, []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        out = links(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    keys = ["token", "one", "two"]
-    return rows.select(*keys, "side", "component", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, "a bigint, b bigint")
+            yield sent(out)
+        yield sent(work(key, held) if len(held) > 1 else [])
+
+    return rows.select(*KEYS, *columns).repartition(*KEYS).sortWithinPartitions(*KEYS, "doc_id").mapInArrow(run, schema)
+
+
+def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows: token, one, two (the block pair; one = two: a block with itself), side, component, doc_id, text. For each set of components
+    that links join in a block or pair of blocks, (a, b) from a document of each to the smallest such document."""
+
+    def work(key: tuple, block: list[tuple]) -> list[tuple]:
+        ids, comps, sides, texts = zip(*block, strict=True)
+        raw, at = utf8(pa.array(texts, pa.large_string()))
+        sets = [s for lo, hi in slices(at) for s in shingles(raw, at[lo : hi + 1], k)]
+        side, comp = np.array(sides), np.unique(comps, return_inverse=True)[1]
+        label = tree_labels(sets, comp, percent, side if side.any() else None)
+        head: dict[int, int] = {}
+        first: dict[int, tuple[int, int]] = {}
+        for i in sorted(range(len(ids)), key=ids.__getitem__):
+            head.setdefault(label[i], ids[i])
+            first.setdefault(comp[i], (label[i], ids[i]))
+        return [(head[x], i) for x, i in first.values() if head[x] != i]
+
+    return _by_block(rows, ["doc_id", "component", "side", "text"], work, "a bigint, b bigint")
+
+
+def _smaller(tokens: list[np.ndarray], key: int) -> np.ndarray:
+    """Per row a bitmap of its tokens below key."""
+    rows = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    every = np.concatenate(tokens)
+    rows, every = rows[every < key], every[every < key]
+    place = np.unique(every, return_inverse=True)[1]
+    bits = np.zeros((len(tokens), 1 + (place.max() // 64 if len(place) else 0)), np.uint64)
+    np.bitwise_or.at(bits, (rows, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return bits
+
+
+def _share(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair have a bit in common."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        out[k : k + (1 << 14)] = (bits[i[k : k + (1 << 14)]] & bits[j[k : k + (1 << 14)]]).any(axis=1)
+    return out
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: as of _links, with n, bits and tokens (all cells of the class) in place of text. The rows (token, one, two, side, doc_id, component) that some pair
+    needs: one that the tree over the bitmaps can't rule out, in the cell of the pair's smallest common token only."""
+
+    def work(key: tuple, block: list[tuple]) -> list[tuple]:
+        ids, comps, sides, sizes, bits, cells = zip(*block, strict=True)
+        comp = np.unique(comps, return_inverse=True)[1]
+        side, n = np.array(sides), np.array(sizes, np.int64)
+        wide = np.array([len(x) * 8 for x in bits])
+        tokens = [np.array(x, np.int32) for x in cells]
+        smaller = _smaller(tokens, key[0])
+        need: set[int] = set()
+        for w in np.unique(wide):
+            # linked sets differ in size so little that their widths are equal or one step apart; wider maps are folded
+            own = np.flatnonzero((wide == w) | (wide == 2 * w))
+            maps = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, w // 64), axis=0) for r in own])
+            i, j = tree_pairs(maps, n[own], np.array([int(tokens[r].min()) for r in own]), comp[own], percent)
+            i, j = own[i], own[j]
+            ok = (wide[i] == w) | (wide[j] == w)
+            if side.any():
+                ok &= side[i] != side[j]
+            i, j = i[ok], j[ok]
+            need.update(np.unique(np.concatenate([i, j])[np.tile(~_share(smaller, i, j), 2)]).tolist())
+        return [(*key, side[r].item(), ids[r], comps[r]) for r in sorted(need)]
+
+    return _by_block(rows, ["doc_id", "component", "side", "n", "bits", "tokens"], work, "token int, one int, two int, side int, doc_id bigint, component bigint")
 
 
 def _blocks(cells: DataFrame, full: bool) -> DataFrame:
-    """cells: token, doc_id, n, component. Adds (one, two, side). A cell of at most BLOCK shingles is one block. A larger one is dealt
+    """cells: token, doc_id, n, component. Adds (one, two, side). A cell of weight up to BLOCK is one block. A larger one is dealt
     out by a hash: in full to all pairs of its blocks, else to its blocks, each with the cell's smallest class."""
-    size = cells.groupBy("token").agg(F.sum("n").alias("weight"), F.min("doc_id").alias("anchor"))
+    size = cells.groupBy("token").agg(F.sum(F.col("n") + ROW).alias("weight"), F.min("doc_id").alias("anchor"))
     blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
     dealt = cells.join(size, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -118,6 +201,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Rows with one doc_id are one document; those of a null doc_id are returned with their size and a null component. An empty table
     gives no rows. Other columns, whatever their names, are not read.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,22 +210,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     last = counted.where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "token").limit(COMMON).toPandas()["token"].to_numpy(np.int32)
     every, every_at = save(prefixes(docs, k, percent, np.sort(last)))
 
-    classes, classes_at = save(every.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r")).select("set_key", "r.*"))
+    classes, classes_at = save(every.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("r")).select("set_key", "r.*"))
     tokens = classes.select("doc_id", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("token")
     cells, cells_at = save(tokens.join(shared, "token").select("token", "doc_id", "n"))
 
     first = cells.groupBy("doc_id").agg(F.min("token").alias("token"), F.min("n").alias("n")).withColumn("component", F.col("doc_id"))
     meeting = first.groupBy("token").count().where("count > 1").select("token")
-    rows = _blocks(first.join(meeting, "token"), False).join(docs, "doc_id")
-    early, early_at = save(_join_blocks(rows, k, percent))
+    met, met_at = save(first.join(meeting, "token"))
+    early, early_at = save(_links(_blocks(met, False).join(_texts(docs, met), "doc_id"), k, percent))
     groups, groups_at = components(early)
 
     named = cells.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     alike = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(doc_id))").alias("members"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("again")).where("x < y")
     mixed = alike.groupBy("x", "y", "size", "members", "again").agg(F.min("token").alias("token")).select("token")
-    late, late_at = save(_join_blocks(_blocks(named.join(mixed, "token"), True).join(docs, "doc_id"), k, percent))
-    drop(spark, cells_at, groups_at)
+    open_, open_at = save(named.join(mixed, "token"))
+    own = open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    rows = _blocks(open_, True).join(classes.select("doc_id", "bits").join(own, "doc_id"), "doc_id")
+    needed, needed_at = save(_candidates(rows, percent))
+    late, late_at = save(_links(needed.join(_texts(docs, needed), "doc_id"), k, percent))
+    drop(spark, met_at, cells_at, groups_at, needed_at, open_at)
     linked, _ = components(early.union(late))
     drop(spark, early_at, late_at)
 

@@ -26,8 +26,8 @@ def _levels(bits, low, high, excess, comp):
     return out
 
 
-def _possible(level, i, j, percent):
-    """Which node pairs may hold a link between different components."""
+def _possible(level, i, j, percent, exact=False):
+    """Which node pairs may hold a link between different components; exact: which leaf pairs are one, with bits in common exact."""
     bits, low, high, excess, comp = level
     ok = np.ones(len(i), bool)
     ok &= ~((comp[i] == comp[j]) & (comp[i] >= 0))
@@ -37,7 +37,7 @@ def _possible(level, i, j, percent):
         part = at[k : k + CHUNK]
         a, b = i[part], j[part]
         most = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(excess[a], excess[b])
-        ok[part] = 100 * most >= percent * np.maximum(low[a], low[b])
+        ok[part] = (100 + percent) * most >= percent * (low[a] + low[b]) if exact else 100 * most >= percent * np.maximum(low[a], low[b])
     return ok
 
 
@@ -50,47 +50,100 @@ def _children(i, j, size):
     return a[ok], b[ok]
 
 
-def tree_links(sets: list[np.ndarray], comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links with 100 * |A and B| >= percent * |A or B| between the sets (sorted distinct
-    hashes). Sets of one component count as linked already. With side, only pairs of different sides are sought."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    order = np.lexsort(([int(x[0]) if len(x) else 0 for x in sets], sizes))
-    order = order[sizes[order] > 0]
+def bitmap(x: np.ndarray, width: int) -> np.ndarray:
+    """The token bitmap of a set of hashes, in words of 64 bits. Halves laid over each other give that of half the width."""
+    out = np.zeros(width // 64, np.uint64)
+    place = (x >> np.uint64(17)) & np.uint64(width - 1)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def width_for(n: int) -> int:
+    """Bits for a set of n tokens: a power of two from n, within bounds."""
+    return min(max(64, 1 << (n - 1).bit_length()), 1 << 14)
+
+
+def tree_pairs(bits: np.ndarray, sizes: np.ndarray, near: np.ndarray, comp: np.ndarray, percent: int, excess: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that the dual traversal of the tree over the bitmaps can't rule out. near: alike for alike sets. No pair of one
+    component comes out, and every pair that links two does. excess: tokens of a set beyond its set bits; 0 makes the test exact."""
+    order = np.lexsort((near, sizes))
     if len(order) < 2:
-        return []
-    width = 64
-    while width < min(4 * int(sizes.max()), 1 << 14):
-        width *= 2
-    bits = np.zeros((len(order), width // 64), np.uint64)
-    for r, x in enumerate(order):
-        place = (sets[x] >> np.uint64(17)) & np.uint64(width - 1)
-        np.bitwise_or.at(bits[r], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    n = sizes[order]
-    excess = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    label = comp[order].copy()
-    levels = _levels(bits, n, n, excess, label)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, leaves = sizes[order], bits[order]
+    over = n - np.bitwise_count(leaves).sum(axis=1, dtype=np.int64) if excess is None else excess[order]
+    levels = _levels(leaves, n, n, over, comp[order])
     i = j = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, 0, -1):
         ok = _possible(levels[depth], i, j, percent)
         i, j = _children(i[ok], j[ok], len(levels[depth - 1][1]))
     keep = i < j
-    if side is not None:
-        keep &= side[order[i]] != side[order[j]]
     i, j = i[keep], j[keep]
-    ok = _possible(levels[0], i, j, percent)
-    i, j = i[ok], j[ok]
-    # near leaves first: most components close early, and pairs inside one are passed over
-    near = np.argsort(j - i, kind="stable")
-    i, j, out, k = i[near], j[near], [], 0
-    while k < len(i):
-        stop = min(k + 512, len(i))
-        for a, b in zip(i[k:stop].tolist(), j[k:stop].tolist(), strict=True):
+    ok = _possible(levels[0], i, j, percent, exact=excess is not None)
+    return order[i[ok]], order[j[ok]]
+
+
+#: Bytes of the exact bitmaps of one block.
+EXACT_BYTES = 1 << 25
+
+
+def _exact_bitmaps(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Bitmaps over the tokens that at least two of the sets hold: bits in common are tokens in common. None if they are too large."""
+    every = np.concatenate(sets)
+    tokens, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count > 1
+    width = -(-int(shared.sum()) // 64)
+    if width * 8 * len(sets) > EXACT_BYTES:
+        return None
+    slot = np.where(shared, np.cumsum(shared) - 1, -1)[place]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[slot >= 0]
+    slot = slot[slot >= 0]
+    bits = np.zeros((len(sets), max(width, 1)), np.uint64)
+    np.bitwise_or.at(bits, (row, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
+    return bits
+
+
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining the labels of all pairs (i, j): each label becomes the smallest that it is joined with."""
+    small = np.arange(label.max() + 1)
+    a, b = label[i], label[j]
+    while True:
+        low = np.minimum(small[a], small[b])
+        before = small.copy()
+        np.minimum.at(small, small[a], low)
+        np.minimum.at(small, small[b], low)
+        np.minimum.at(small, a, low)
+        np.minimum.at(small, b, low)
+        small = small[small]
+        if (small == before).all():
+            return small[label]
+
+
+def tree_labels(sets: list[np.ndarray], comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Component labels of the sets (sorted distinct hashes) by the links with 100 * |A and B| >= percent * |A or B|, from the given ones
+    (whole numbers from 0). With side, only links between different sides are sought."""
+    have = np.flatnonzero([len(x) > 0 for x in sets])
+    if len(have) < 2:
+        return comp
+    some = [sets[k] for k in have]
+    sizes, near = np.array([len(x) for x in some], np.int64), np.array([x[0] for x in some])
+    bits = _exact_bitmaps(some)
+    if bits is not None:
+        i, j = tree_pairs(bits, sizes, near, comp[have], percent, np.zeros(len(some), np.int64))
+    else:
+        width = width_for(4 * int(sizes.max()))
+        i, j = tree_pairs(np.stack([bitmap(x, width) for x in some]), sizes, near, comp[have], percent)
+    i, j = have[i], have[j]
+    if side is not None:
+        i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+    if bits is not None:
+        return _merge(comp, i, j)
+    label = comp.copy()
+    while len(i):
+        for a, b in zip(i[:512].tolist(), j[:512].tolist(), strict=True):
             if label[a] != label[b]:
-                x, y = sets[order[a]], sets[order[b]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((int(order[a]), int(order[b])))
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     label[label == label[b]] = label[a]
-        rest = label[i[stop:]] != label[j[stop:]]
-        i, j, k = i[stop:][rest], j[stop:][rest], 0
-    return out
+        rest = label[i[512:]] != label[j[512:]]
+        i, j = i[512:][rest], j[512:][rest]
+    return label

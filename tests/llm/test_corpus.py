@@ -57,6 +57,7 @@ def variants(seed, n, words, edits):
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_components_are_brute_force(spark, docs_of, documents, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
+    monkeypatch.setattr(jaccard_join, "ROW", 1)
     monkeypatch.setattr(jaccard_join, "COMMON_FROM", 4)
     texts = variants(1, 40, 120, 6) + variants(2, 12, 30, 1) + variants(3, 25, 300, 18) + ["A b C d", "a B c D", "one two", "One  two", "", None, "  ", "x" * 300000, "q " * 30000]
     rows = list(enumerate(texts))
@@ -74,7 +75,7 @@ def test_jaccard_edges(spark, docs_of):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 0, None), (0, 1, None), (4, 1, 4)]
 
 
-def test_tree_finds_every_link():
+def test_tree_finds_every_link(monkeypatch):
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 2**63, rng.integers(1, 80)).astype(np.uint64)) for _ in range(12)]
     sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.05], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)])) for b in base for _ in range(12)]
@@ -84,8 +85,13 @@ def test_tree_finds_every_link():
     found = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
     linked = {frozenset((a, b)) for a in range(n) for b in range(a) if len(sets[a]) and len(sets[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
     assert linked <= found and len(found) < n * (n - 1) // 2
-    forest = signature_tree.tree_links(sets, np.arange(n), 80)
-    assert {frozenset(p) for p in forest} <= linked and len(forest) < n
+    parent = list(range(n))
+    for a, b in map(sorted, linked):
+        parent = [parent[a] if p == parent[b] else p for p in parent]
+    group = lambda labels: {frozenset(np.flatnonzero(np.array(labels) == x).tolist()) for x in labels}
+    for limit in (1 << 25, 0):
+        monkeypatch.setattr(signature_tree, "EXACT_BYTES", limit)
+        assert group(signature_tree.tree_labels(sets, np.arange(n), 80).tolist()) == group(parent)
 
 
 def test_connected_components(spark):
