@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .rng import draw
 from .text import bracket_list
 
 #: List name in a sensor text (spelt as the released texts spell it), name shown, decimals, unit (fixed values).
@@ -77,3 +78,8 @@ def framed(question: Column, heading: str = "") -> Column:
 def zero_shot(instruction: Column, body: Column, example: Column) -> Column:
     """Instruction, sensor text and an example answer of the given number."""
     return F.concat(instruction, body, F.lit(FORMAT), example.cast("string"))
+
+
+def example_number(seed: int, item: Column) -> Column:
+    """The example answer of an item, drawn from 0 to 5 by seed and item number."""
+    return draw(F.lit(6), seed, item).cast("int")

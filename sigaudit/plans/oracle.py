@@ -131,6 +131,7 @@ m as (select rep, subject, y as yp, row_number() over (partition by rep, subject
     "seed_aggregate": q(ANCHOR, ", p as (select doc_id % 3 as seed, avg(abs(pred - label)) as mae from preds group by 1) select count(*) as seeds, round(avg(mae), 6) as mean, round(coalesce(stddev_samp(mae), 0), 6) as sd from p"),
     "verbalize_logic": q(MATRIX, "select window_id, case when f_mean is null then 'unavailable' when f_mean > median_f_mean then 'elevated' else 'reduced' end as state_f_mean, case when f_sd is null then 'unavailable' when f_sd > median_f_sd then 'elevated' else 'reduced' end as state_f_sd from m15 join med on subject = test_subject"),
     "prompt_render": q(SIG, "select window_id, 'Classify this physiological recording.' || chr(10) || 'A = calm. B = stress. Answer with a single token, A or B.' || chr(10) || 'Examples:' || chr(10) || 'first' || chr(10) || 'Answer: A' || chr(10) || 'second' || chr(10) || 'Answer: B' || chr(10) || chr(10) || 'subject ' || subject || ' part ' || seg_name || chr(10) || 'Answer:' as prompt from sig"),
+    "zero_shot_prompts": q(ANCHOR, f"select doc_id, 'Read the text.' || chr(10) || substr(body, 1, 40) || 'For example, the answer should be in the following format:' || chr(10) || 'Answer: ' || cast({bits('1337', 'doc_id')} % 6 as varchar) as prompt from anchor"),
     "card_primary": q(CELLS, f"select setup, rung, round(macro_f1, 6) as macro_f1, round(macro_f1_surr, 6) as macro_f1_surr, round(macro_f1 - macro_f1_surr, 6) as delta, round(case when is_null then {GATED} end, 6) as sds, case when macro_f1_surr is null then 'missing surrogate cell' when not is_null then 'descriptive' when ci_lo > chance then 'ratio' else 'undefined (validity gate)' end as status from cells left join rungs using (setup)"),
     "card_secondary": q(CELLS, "select setup, rung, round(cells.ba, 6) as ba, round(ba_surr, 6) as ba_surr, round(case when cells.ba > 0.5 then (cells.ba - ba_surr) / (cells.ba - 0.5) end, 6) as sds_ba from cells join rungs using (setup)"),
     "card_heatmap_pivot": q(CELLS, f", v as (select setup, rung, {GATED} as sds from cells left join rungs using (setup)) select setup, round(max(sds) filter (rung = 'gaussian'), 6) as gaussian, round(max(sds) filter (rung = 'iaaft'), 6) as iaaft from v group by 1"),

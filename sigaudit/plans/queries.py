@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays, dsp, metrics, rng, text
+from ..functions import anchor_text, arrays, dsp, metrics, png, rng, text
 from ..operators import folds, models, report, scoring, surrogates, windowing
 from ..sources import adapters as src
 
@@ -444,6 +444,15 @@ def prompt_render(s, d):
     return w.select("window_id", text.prompt(body, "instruction", shown).alias("prompt"))
 
 
+def zero_shot_prompts(s, d):
+    a = _anchor(s, d)
+    return a.select("doc_id", anchor_text.zero_shot(F.lit("Read the text.\n"), F.substring("body", 1, 40), anchor_text.example_number(SEED, F.col("doc_id"))).alias("prompt"))
+
+
+def plot_digests(s, d):
+    return src.sig_windows(s, d).select("window_id", F.sha2(png.plot("x"), 256).alias("png_sha256"))
+
+
 # report
 
 
