@@ -19,17 +19,20 @@ def duck(small):
     return con
 
 
-def plain(frame: pd.DataFrame) -> pd.DataFrame:
-    def one(v):
-        if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
-            return "null"
-        return f"{float(v):.5f}" if isinstance(v, (float, np.floating)) else str(v)
-
-    cols = sorted(frame.columns)
-    return frame[cols].astype(object).map(one).sort_values(cols).reset_index(drop=True)
+def plain(frame: pd.DataFrame, floats: set[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows in order, as text but for columns of floating-point numbers."""
+    exact = sorted(set(frame.columns) - floats)
+    text = frame[exact].astype(object).map(lambda v: "null" if v is None or v is pd.NA or v != v else str(int(v) if isinstance(v, float) and v == int(v) else v))
+    numbers = frame[sorted(floats)].apply(pd.to_numeric).astype(float)
+    order = pd.concat([text, numbers.round(3)], axis=1).sort_values([*exact, *sorted(floats)]).index
+    return text.loc[order].reset_index(drop=True), numbers.loc[order].to_numpy()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, small, duck, name):
-    got, want = plain(QUERIES[name](spark, small).toPandas()), plain(duck.sql(SQL[name]).df())
-    pd.testing.assert_frame_equal(got, want)
+    got, want = QUERIES[name](spark, small).toPandas(), duck.sql(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    floats = {c for c in want.columns if want[c].dtype == float}
+    (a, x), (b, y) = plain(got, floats), plain(want, floats)
+    pd.testing.assert_frame_equal(a, b)
+    assert np.allclose(x, y, atol=2e-6, equal_nan=True)  # the two round half-way cases differently
