@@ -23,7 +23,7 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _FAST = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t-\r{_LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 _PLAIN = re.compile(rf"[\x00-\x1b -\x7f{_LATIN}]*")
 #: Entries of a table of pieces or token pairs before it is emptied.
-KEEP = 600_000
+KEEP = 450_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,10 +50,18 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self._prepare(spec)
+        self._pieces: dict[str, bytes] = {}
+        self._split = regex.compile(PATTERN)
+        self._split_fast = re.compile(_FAST)
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def _prepare(self, spec: dict) -> None:
+        """The tables of the dynamic programme."""
         # Ranks: single letters first, then merges in order; _parts undoes a merge.
         self._merged: dict[tuple[int, int], int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
-        singles = [c for c in letters.values() if c in self.vocab]
+        singles = [c for c in self._letters.values() if c in self.vocab]
         rank = {c: i for i, c in enumerate(singles)}
         for pair in spec["model"]["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -68,10 +76,6 @@ class Codec:
             self._matches.add_word(token, (r, len(token)))
         self._matches.make_automaton()
         self._fits: dict[int, bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._split = regex.compile(PATTERN)
-        self._split_fast = re.compile(_FAST)
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may directly follow token a: undo the later merge of the two again and again; no pair at the border may
@@ -164,8 +168,7 @@ class Codec:
 class LibraryCodec(Codec):
     """The same ids, with pieces not yet in the table encoded by the tiktoken library."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def _prepare(self, spec: dict) -> None:
         import tiktoken
 
         ranks = {self.bytes_of[i]: i for i in self.vocab.values()}
