@@ -1,12 +1,14 @@
 """Operator 9: text statistics, base rules, and robust multivariate outliers. DataFrame functions only.
 
 Per language and source the minimum-covariance-determinant estimate of location and scatter of transformed statistics is found by
-concentration steps: the rows nearest by Mahalanobis distance under the current estimate give the next one. A row far from the
-estimate of its group is rejected. Group moments and distance histograms are mergeable sums, so no group is ever gathered.
+concentration steps: the rows nearest by Mahalanobis distance under the current estimate give the next one. They run from several
+starts, and the estimate of least determinant stands. A row far from the estimate of its group is rejected. Group moments and distance
+histograms are mergeable sums, so no group is ever gathered.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +18,34 @@ from .common import drop, save, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Share of a group that the estimate rests on; concentration steps; least rows of a group for an estimate of its own.
-CORE, STEPS, LEAST = 0.75, 5, 50
-#: Rejected beyond this Mahalanobis distance. Far out: clean texts vary in length and so in their rates.
-FAR = 12.0
+CORE, STEPS, LEAST = 0.5, 5, 50
+#: Starts of a group: all its rows, and samples of about so many rows drawn by hash.
+STARTS, SAMPLE = 6, 10
+#: Share of normal rows within the cut. Clean texts are not normal (labelled good ones have up to a third of their lines twice), so it
+#: is nearer to 1 than usual.
+WITHIN = 1 - 1e-6
 #: Scatter that every statistic has at least (standard deviation): constant statistics would reject any deviation.
 FLOOR = {"x0": 0.35, "x1": 0.05, "x2": 0.08, "x3": 0.08}
 DIMENSIONS = tuple(FLOOR)
+
+
+def chi_square(x: float, dof: int) -> float:
+    """Distribution function of chi-square with an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
+
+
+def chi_square_quantile(share: float, dof: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, dof) < share else (low, mid)
+    return high
+
+
+#: The covariance of the CORE nearest of normal rows is that of all rows divided by this.
+CONSISTENCY = CORE / chi_square(chi_square_quantile(CORE, len(DIMENSIONS)), len(DIMENSIONS) + 2)
+#: Rejected beyond this Mahalanobis distance (5.78).
+FAR = math.sqrt(chi_square_quantile(WITHIN, len(DIMENSIONS)))
 #: Places in which the rows of one group meet its estimate: a group may hold a third of all rows.
 SALTS = 16
 #: Bins a unit of log distance in the histograms that place the core's border.
@@ -69,11 +93,11 @@ def _transformed() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and Cholesky factor of each group's rows."""
+def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Mean, Cholesky factor of the scatter (factor times the covariance, and FLOOR) and log determinant of each group's rows."""
     pairs = list(combinations_with_replacement(DIMENSIONS, 2))
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMENSIONS), *(F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in pairs))
-    scatter = {(a, b): F.col(f"c_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0) for a, b in pairs}
+    scatter = {(a, b): factor * F.col(f"c_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0) for a, b in pairs}
     # the Cholesky factor column by column, so that no expression is repeated
     out = sums
     done: dict[tuple[int, int], Column] = {}
@@ -84,7 +108,8 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
                 rest = rest - done[i, k] * done[j, k]
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / done[j, j])
             done[i, j] = F.col(f"l{i}{j}")
-    return out.select(*keys, *(f"m_{d}" for d in DIMENSIONS), *(f"l{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)))
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(len(DIMENSIONS))), F.lit(0.0))
+    return out.select(*keys, det.alias("det"), *(f"m_{d}" for d in DIMENSIONS), *(f"l{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -103,21 +128,30 @@ def _spread(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows of each (group, start): all rows of the group, and SAMPLE rows or so by hash for each other start."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
+    places = F.greatest(F.floor(F.col("size") / SAMPLE), F.lit(1))
+    sized = rows.join(_spread(sizes), ["group", "salt"]).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    return sized.where((F.col("start") == 0) | (F.pmod(F.xxhash64("draw", "start"), places) == 0)).select("group", "start", *DIMENSIONS)
+
+
 def robust_estimate(rows: DataFrame) -> DataFrame:
-    """Per group of rows (group, salt, x0..) the mean and Cholesky factor of its concentrated core: from all rows of the group, STEPS times
-    on to the nearest CORE share."""
-    estimate, at = save(_moments(rows, ["group"]))
+    """Per group of rows (group, salt, draw, x0..) the mean and Cholesky factor of its concentrated core: from each start, STEPS times on
+    to the nearest CORE share of all rows of the group; of the starts the one of least determinant."""
+    estimate, at = save(_moments(_starts(rows), ["group", "start"]))
     for _ in range(STEPS):
         near = _distance(rows.join(_spread(estimate), ["group", "salt"])).withColumn("bin", F.floor(F.log1p("d") * BINS))
-        bins = near.groupBy("group", "bin").count()
-        upto = Window.partitionBy("group").orderBy("bin")
-        share = bins.withColumn("upto", F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("count").over(Window.partitionBy("group")))
-        border = share.where(F.col("upto") >= CORE * F.col("all")).groupBy("group").agg(F.min("bin").alias("border"))
-        core = near.join(_spread(border), ["group", "salt"]).where("bin <= border").select("group", *DIMENSIONS)
-        following, path = save(_moments(core, ["group"]))
+        bins = near.groupBy("group", "start", "bin").count()
+        upto = Window.partitionBy("group", "start").orderBy("bin")
+        share = bins.withColumn("upto", F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("count").over(Window.partitionBy("group", "start")))
+        border = share.where(F.col("upto") >= CORE * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("border"))
+        core = near.join(_spread(border), ["group", "start", "salt"]).where("bin <= border").select("group", "start", *DIMENSIONS)
+        following, path = save(_moments(core, ["group", "start"], CONSISTENCY))
         drop(rows.sparkSession, at)
         estimate, at = following, path
-    return estimate
+    least = F.row_number().over(Window.partitionBy("group").orderBy("det", "start"))
+    return estimate.withColumn("place", least).where("place = 1").drop("place", "start", "det")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -135,9 +169,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     named = sizes.withColumn("group", F.when(F.col("count") >= LEAST, F.col("own")).otherwise(small))
     large = named.groupBy("group").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST).select("group")
     groups, _ = save(named.join(large, "group", "left_semi").select("own", "group"))
-    salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+    salted = stats.withColumn("draw", F.xxhash64("doc_id", "n_words", "word_chars")).withColumn("salt", F.pmod("draw", F.lit(SALTS)))
     rows = salted.join(_spread(groups), ["own", "salt"], "left").select("*", *_transformed())
-    core = rows.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", "salt", *DIMENSIONS)
+    core = rows.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", "salt", "draw", *DIMENSIONS)
     out = _distance(rows.join(_spread(robust_estimate(core)), ["group", "salt"], "left"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d"), F.lit(0.0)) <= FAR)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d").alias("distance"))

@@ -189,3 +189,26 @@ def test_outliers_are_rejected_and_clean_rows_kept(spark, small):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = QUERIES["op9_quality_rules"](spark, sf).join(labels, "doc_id").where("not base_failed").toPandas()
     assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.1
+
+
+def plain_text(i, n=80):
+    """n words, no line or passage twice."""
+    words = [f"{'abcdefghij'[(i + k) % 10] * (3 + (i * 7 + k * k) % 5)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n)]
+    return "\n".join(" ".join(words[k : k + 4]) for k in range(0, n, 4))
+
+
+def test_planted_outliers_go_even_from_a_group_of_one_third_junk(docs_of):
+    short = "\n".join("ab" if k % 2 else chr(97 + k % 26) + chr(97 + k // 26) for k in range(200))  # half its lines twice or more
+    doubled = plain_text(1) + "\n" + "\n".join(["Read more"] * 14)
+    junk = lambda i: " ".join(w + " #" for w in plain_text(i, 60).split())
+    clean = [(i, plain_text(i)) for i in range(200)]
+    kept = lambda rows: {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs_of(rows, extra=False)).where("not base_failed").collect()}
+    got = kept([*clean, (1000, short), (1001, doubled)])
+    assert not got[1001] and not got.get(1000, False) and all(got[i] for i, _ in clean)
+    got = kept([*clean, *((2000 + i, junk(i)) for i in range(100))])
+    assert all(got[i] for i, _ in clean) and len(got) == 300 and not any(got[2000 + i] for i in range(100))
+
+
+def test_cut_is_a_chi_square_quantile():
+    assert abs(quality_rules.chi_square_quantile(0.5, 4) - 3.35669) < 1e-4 and abs(quality_rules.chi_square_quantile(0.9999, 4) - 23.51274) < 1e-3 and quality_rules.FAR < 6
+    assert abs(quality_rules.CONSISTENCY - 2.11) < 0.02
