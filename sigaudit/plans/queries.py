@@ -330,13 +330,33 @@ def permutation_floor(s, d):
     return models.permutation_floor(_sig_features(src.sig_windows(s, d)), SIG_FEATURES, 2, SEED, steps=3)
 
 
+#: Rungs of the surrogate ladder, and whether they are null: the last keeps the labels' signal.
+RUNGS = {"deleted": True, "flatline": True, "gaussian": True, "iaaft": True, "subject_perm_broken": True, "subject_perm_preserved": False}
+
+
+def _rung(w, rung):
+    """The windows w with the channel of a rung."""
+    if rung == "flatline":
+        return surrogates.flatline(w)
+    if rung == "gaussian":
+        return surrogates.gaussian(w, SEED)
+    if rung == "iaaft":
+        return surrogates.iaaft(w, SEED)
+    return surrogates.permuted(w, surrogates.donors(w, SEED, rung == "subject_perm_preserved"), ["x"])
+
+
 def surrogate_ledger(s, d):
+    """Per rung macro F1 of the regression, of each subject and of all rows (null subject); no model is fitted without a signal."""
     w = src.sig_windows(s, d)
     out = None
-    for rung, rows in (("flatline", surrogates.flatline(w)), ("gaussian", surrogates.gaussian(w, SEED))):
-        p = models.loso_logreg(_sig_features(rows), SIG_FEATURES, steps=4).agg(F.count("*").alias("n_rows"), *metrics.confusion()).select(F.lit(rung).alias("rung"), "n_rows", metrics.macro_f1().alias("macro_f1"))
+    for rung, null in RUNGS.items():
+        if rung == "deleted":
+            p = w.rollup("subject").agg(F.count("*").alias("n")).withColumn("macro_f1", F.lit(None).cast("double"))
+        else:
+            p = metrics.macro_f1_rollup(models.loso_logreg(_sig_features(_rung(w, rung)), SIG_FEATURES).withColumn("failure", F.lit(False)))
+        p = p.select(F.lit(rung).alias("rung"), F.lit(null).alias("is_null"), "subject", F.col("n").alias("n_rows"), "macro_f1")
         out = p if out is None else out.unionByName(p)
-    return out.unionByName(w.agg(F.count("*").alias("n_rows")).select(F.lit("deleted").alias("rung"), "n_rows", F.lit(None).cast("double").alias("macro_f1")))
+    return out
 
 
 def tree_depth3_loso(s, d):

@@ -116,3 +116,18 @@ def test_bootstrap_and_votes(spark):
     for negate, want in ((False, 2), (True, -2)):
         got = {r["subject"]: r["vote"] for r in models.adjective_votes(rows, {"a": "eda_tonic_mean", "b": "hrv_sdnn"}, negate).select("subject", F.col("vote")).collect()}
         assert got["q"] == want
+
+
+def test_ledger_scores_every_rung_with_all_steps(spark, small):
+    from sigaudit.plans import queries
+    from sigaudit.sources import adapters
+
+    got = queries.surrogate_ledger(spark, small).toPandas()
+    assert dict(zip(got.rung, got.is_null, strict=True)) == queries.RUNGS and len(queries.RUNGS) == 6
+    w = adapters.sig_windows(spark, small)
+    assert set(got.groupby("rung").subject.nunique()) == {w.select("subject").distinct().count()}
+    whole = got[got.subject.isna()].set_index("rung")
+    assert set(whole.n_rows) == {w.count()} and got[got.rung == "deleted"].macro_f1.isna().all() and got[got.rung != "deleted"].macro_f1.notna().all()
+    moved = surrogates.permuted(w, surrogates.donors(w, queries.SEED, False), ["x"])
+    p = models.loso_logreg(queries._sig_features(moved), queries.SIG_FEATURES)
+    assert abs(whole.macro_f1["subject_perm_broken"] - score(p)) < 1e-12
