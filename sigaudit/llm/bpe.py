@@ -166,16 +166,17 @@ class Codec:
 
 
 class LibraryCodec(Codec):
-    """The same ids, with pieces not yet in the table encoded by the tiktoken library."""
+    """The same ids, with pieces not yet in the table encoded by the tokenizers library's model, which never splits them again: a piece
+    of any length costs n log n."""
 
     def _prepare(self, spec: dict) -> None:
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        ranks = {self.bytes_of[i]: i for i in self.vocab.values()}
-        self._library = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._model = Tokenizer.from_str(json.dumps(spec)).model
+        self._shown = {b: ord(c) for b, c in self._letters.items()}
 
     def piece_ids(self, piece: str) -> list[int]:
-        return self._library.encode_ordinary(piece)
+        return [t.id for t in self._model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._shown))]
 
 
 _codecs: dict[tuple[type, str], Codec] = {}

@@ -2,8 +2,9 @@
 
 Pattern packing by non-negative least squares: patterns are few-document combinations of lengths that fill a sequence; repeat counts
 are fitted to the histogram of lengths, rounded down, and the residual lengths are packed best-fit. All of this works on the
-histogram, whose size is the sequence length, never on documents. Documents then find their place by the rank of their piece
-among those of its length.
+histogram, whose size is the sequence length, never on documents. Documents then find their place by the number of their piece
+among those of its length: the tasks that cut texts number the pieces of each length as they come, the numbers of earlier tasks are
+added, and a binary search among the plan's slots of that length does the rest. No window, and no sort of pieces, is needed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,35 +23,37 @@ from .bpe_coding import tokenizer_path
 from .common import bound_batches, save, table
 
 LENGTH, END_ID = 1024, 2
-#: Groups that the pieces of one length are dealt to for ranking.
-SALTS = 64
-#: Patterns of three lengths in the fit, at most; iterations of the fit.
+#: Patterns of three lengths in the fit, at most (the most frequent lengths first; the others are residuals and are packed best-fit);
+#: iterations of the fit.
 TRIPLES, STEPS = 6000, 400
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """Per piece doc_id, piece, start, length, ids_crc32 (and ids). The first piece of a long document takes what is left over."""
+    """Per piece doc_id, piece, start, length, ids_crc32 (and ids), and its number among the pieces of its length in its part (task).
+    The first piece of a long document takes what is left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, LibraryCodec)
         end = int(end_id).to_bytes(4, "little")
+        seen = [0] * (length + 1)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = bpe.encode_bytes(text.as_py()) + end
                 n, at, piece = len(raw) // 4, 0, 0
                 while at < n:
                     size = length if piece or n % length == 0 else n % length
-                    part = raw[4 * at : 4 * (at + size)]
-                    for c, v in zip(cols, (doc_id, piece, at, size, zlib.crc32(part), memoryview(part).cast("I").tolist() if ids else None), strict=True):
+                    own = raw[4 * at : 4 * (at + size)]
+                    for c, v in zip(cols, (doc_id, piece, at, size, zlib.crc32(own), part, seen[size], memoryview(own).cast("I").tolist() if ids else None), strict=True):
                         c.append(v)
+                    seen[size] += 1
                     at, piece = at + size, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 5 + ids]], names)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number", "ids"][: 7 + ids]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 7 + ids]], names)
 
-    kind = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, kind)
+    kind = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, number bigint" + ", ids array<int>" * ids
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.spark_partition_id()).mapInArrow(run, kind)
 
 
 def patterns(count: np.ndarray, length: int) -> np.ndarray:
@@ -143,32 +147,41 @@ def plan(count: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...],
     return out
 
 
-def pack(cut: DataFrame, length: int = LENGTH, salts: int = SALTS) -> DataFrame:
-    """cut (doc_id, piece, length and more columns, each row once) with sequence_id and offset: sequences of at most length tokens,
-    as few as the plan finds, filled from 0 without gaps. Rows without pieces give none; ties are settled by doc_id and piece."""
-    spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
-    groups = salted.groupBy("length", "salt").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = groups.select("length", "salt", before.alias("before"))
+def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
+    """cut (doc_id, length, part, number and more columns, numbered from 0 in each part and length) with sequence_id and offset:
+    sequences of at most length tokens, as few as the plan finds, filled from 0 without gaps."""
+    groups = cut.groupBy("length", "part").agg((F.max("number") + 1).alias("count"))
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     count = np.zeros(length + 1, np.int64)
-    for row in groups.groupBy("length").agg(F.sum("count").alias("n")).collect():
+    for row in groups.groupBy("length").agg(F.sum("count").alias("n")).collect():  # one row a length
         count[row["length"]] = row["n"]
-    # every slot of every pattern takes the next pieces of its length
+    # every slot of every pattern takes the next pieces of its length; slots are bounded by patterns, whatever the input
     taken, first, slots = np.zeros(length + 1, np.int64), 0, []
     for lengths, times in plan(count, length):
         at = 0
         for v in lengths:
-            slots.append((v, int(taken[v]), int(taken[v]) + times, first, at))
+            slots.append((v, int(taken[v]), first, at))
             taken[v] += times
             at += v
         first += times
-    slot = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length bigint, low bigint, high bigint, first bigint, offset bigint")
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1
-    ranked = salted.withColumn("rank", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # at most a few slots a pattern and three thousand patterns: bounded whatever the input
-    placed = ranked.join(F.broadcast(slot), "length").where("rank >= low and rank < high")
-    return placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low")).drop("salt", "rank", "before", "low", "high", "first")
+    size, low, sequence, offset = np.array(slots or [(0, 0, 0, 0)], np.int64).T
+    order = np.lexsort((low, size))
+    size, low, sequence, offset = size[order], low[order], sequence[order], offset[order]
+    from_, to = np.searchsorted(size, np.arange(length + 1), "left"), np.searchsorted(size, np.arange(length + 1), "right")
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(lengths: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        n, number = lengths.to_numpy(np.int64), numbers.to_numpy(np.int64)
+        slot = np.zeros(len(n), np.int64)
+        for v in np.unique(n):
+            own = n == v
+            slot[own] = from_[v] + np.searchsorted(low[from_[v] : to[v]], number[own], "right") - 1
+        return pd.DataFrame({"sequence_id": sequence[slot] + number - low[slot], "offset": offset[slot]})
+
+    numbered = cut.join(groups.select("length", "part", earlier.alias("earlier")), ["length", "part"])
+    placed = numbered.withColumn("place", place("length", F.col("number") + F.col("earlier")))
+    columns = [c for c in cut.columns if c not in ("part", "number")]
+    return placed.select(*columns, "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from test_texts import WORD, brute_lines, brute_spans
 
 import corpus_pipeline
@@ -148,6 +149,14 @@ def test_packing(spark, docs_of, documents):
     edges = [(1, None), (2, ""), (3, "a"), (4, "word " * 5000), (5, "x")]
     check_packing(packing.pack_documents(docs_of(edges), tokenizer_path()).collect(), edges, codec)
     assert packing.pack_documents(docs_of([]), tokenizer_path()).count() == 0
+    hard = [(1, " " * 1_000_000), (2, "x" * 300_000), (3, ("word" + " " * 5000 + "\n" * 700) * 20), (4, "\t \u3000" * 40_000), (5, "é" * 100_000)]
+    library = Tokenizer.from_file(tokenizer_path())
+    for _, text in hard:
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+    check_packing(packing.pack_documents(docs_of(hard), tokenizer_path()).collect(), hard, codec)
+    many = [(i, None) for i in range(3000)] + [(3000 + i, "a " * (i % 700)) for i in range(500)]
+    used = check_packing(packing.pack_documents(docs_of(many).repartition(7), tokenizer_path()).collect(), many, codec)
+    assert used <= 1.02 * -(-sum(len(codec.encode(t or "")) + 1 for _, t in many) // 1024) + 1
     twice = packing.pack_documents(docs_of([(3, "a"), (3, "a")]), tokenizer_path()).collect()
     assert len(twice) == 2 and sorted(r["offset"] for r in twice) == [0, 2]
 
