@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 #: Elements that begin and end a block, elements without content, and elements whose content is never text (fixed values).
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script|style|template|noscript|svg|math|iframe|object|canvas|audio|video|textarea|select|title"
+HIDDEN = frozenset("script style template noscript svg math iframe object canvas audio video textarea select title".split())
 #: Elements, roles and words in class or id names that mark a page's frame, or its main part (fixed values).
 FRAME_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -20,18 +22,23 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content maincontent post postbody entry story storybody main text prose".split())
 _NOT = frozenset("with no has without free".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<[!?/][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute: its name, and its value if it has one; a quote that nothing closes is part of an unquoted value.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=)?(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HIDES = re.compile(r"display\s*:\s*none", re.I)
+_NUMBER = re.compile(r"&#(?:x0*+[0-9a-f]{7,}|0*+[0-9]{8,})", re.I)
+_ENDS: dict[str, re.Pattern] = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in HIDDEN}
 
 
 @dataclass(eq=False)
 class Element:
+    """part: how the element and those around it are marked: "" (not at all), "main", "frame", or "mixed": a main part in a frame."""
+
     tag: str
     parent: Element | None
     depth: int
-    frame: bool = False
-    main: bool = False
+    part: str = ""
 
 
 @dataclass
@@ -39,79 +46,146 @@ class Block:
     text: str
     linked: int
     element: Element
-    number: int = field(default=0)
 
 
-def _hints(tag: str, attributes: str, parent: Element | None) -> tuple[bool, bool]:
+@dataclass
+class Tag:
+    name: str
+    closing: bool
+    attributes: dict[str, str]
+
+
+def _marks(tag: Tag, parent: Element) -> tuple[bool, bool]:
     """Whether an element marks frame, main part."""
-    frame, main = tag in FRAME_TAGS, tag in MAIN_TAGS
-    if tag == "header" and not (parent and parent.main):
+    name = tag.name
+    frame, main = name in FRAME_TAGS, name in MAIN_TAGS
+    if name == "header" and parent.part != "main":
+        frame = True
+    given = tag.attributes
+    role = given.get("role", "").lower()
+    frame, main = frame or role in FRAME_ROLES, main or role in ("main", "article")
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDES.search(given.get("style", "")):
         frame = True
-    if attributes.strip():
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
-            if name == "role":
-                frame, main = frame or value.lower() in FRAME_ROLES, main or value.lower() in ("main", "article")
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                frame = True
-            elif name in ("class", "id", "itemprop"):
-                for one in value.split():
-                    words = {x.lower() for x in _NAME.findall(one)}
-                    if words & _NOT:
-                        continue
-                    if words & FRAME_WORDS and tag not in ("html", "body", "main"):
-                        frame = True
-                    elif words & MAIN_WORDS and tag not in ("html", "body"):
-                        main = True
+    for one in f"{given.get('class', '')} {given.get('id', '')} {given.get('itemprop', '')}".split():
+        words = {x.lower() for x in _NAME.findall(one)}
+        if words & _NOT or name in ("html", "body"):
+            continue
+        if words & FRAME_WORDS and name != "main":
+            frame = True
+        elif words & MAIN_WORDS:
+            main = True
     return frame, main
 
 
+def _part(tag: Tag, parent: Element) -> str:
+    """The nearest mark holds, but a main part does not leave the frame that it is in: what it is remains open."""
+    frame, main = _marks(tag, parent)
+    if frame:
+        return "frame"
+    if main and parent.part != "main":
+        return "mixed" if parent.part else "main"
+    return parent.part
+
+
+def tokens(html: str) -> Iterator[str | Tag]:
+    """Texts and tags of a page in order. Every character is read a bounded number of times, however broken the page is: comments,
+    declarations and tags that nothing closes run to the page's end, as in browsers."""
+    at, size = 0, len(html)
+    while at < size:
+        open_ = html.find("<", at)
+        if open_ < 0:
+            yield html[at:]
+            return
+        following = html[open_ + 1 : open_ + 2]
+        closing = following == "/"
+        name = _TAG_NAME.match(html, open_ + 1 + closing)
+        if not name and following not in ("!", "?", "/"):
+            yield html[at : open_ + 1]
+            at = open_ + 1
+            continue
+        if open_ > at:
+            yield html[at:open_]
+        if not name:
+            end = "-->" if html.startswith("<!--", open_) else "]]>" if html.startswith("<![CDATA[", open_) else ">"
+            close = html.find(end, open_ + 2)
+            at = close + len(end) if close >= 0 else size
+            continue
+        attributes: dict[str, str] = {}
+        at = name.end()
+        while True:
+            one = _ATTRIBUTE.match(html, at)
+            at = one.end()
+            if one[1]:
+                attributes.setdefault(one[1].lower(), next((x for x in one.groups()[1:] if x is not None), ""))
+            elif one.start() == one.end() or at >= size or html[at] == ">":
+                break
+        if at >= size:
+            return
+        at += 1
+        tag = Tag(name[0].lower(), closing, attributes)
+        if tag.name in HIDDEN and not closing:
+            if html[at - 2] == "/" and tag.name in ("svg", "math"):
+                continue
+            end = _ENDS[tag.name].search(html, at)
+            at = end.start() if end else size
+            continue
+        yield tag
+
+
+def _plain(held: list[str]) -> str:
+    """Decoded text with white space as one space; numbers beyond any character become the replacement character."""
+    text = "".join(held)
+    if "&" in text:
+        text = unescape(_NUMBER.sub("&#xfffd", text))
+    return " ".join(text.split())
+
+
 def blocks(html: str) -> list[Block]:
     """The non-empty text blocks in page order: white space is one space, character references are decoded. Unclosed and stray tags
     are taken as browsers do, roughly: a new p, li, row or cell ends the open one, and a stray end tag ends nothing."""
-    root = Element("", None, 0)
-    here, out, held, linked, in_link = root, [], [], 0, 0
+    here = Element("", None, 0)
+    opened: Counter[str] = Counter()
+    out: list[Block] = []
+    held: list[str] = []
+    linked, in_link = 0, False
 
     def close() -> None:
-        nonlocal held, linked
+        nonlocal linked
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            text = _plain(held)
             if text:
-                out.append(Block(text, min(linked, len(text)), here, len(out)))
-        held, linked = [], 0
-
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            held.append(html[at : m.start()])
-            if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+                out.append(Block(text, min(linked, len(text)), here))
+            held.clear()
+        linked = 0
+
+    def leave() -> None:
+        nonlocal here
+        opened[here.tag] -= 1
+        here = here.parent
+
+    for token in tokens(html):
+        if isinstance(token, str):
+            held.append(token)
+            linked += len(token) if in_link else 0
             continue
+        tag = token.name
         if tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = not token.closing
         elif tag == "br":
             held.append(" ")
         if tag not in BLOCK:
             continue
         close()
-        in_link = 0
-        if m[2]:
-            up: Element | None = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+        in_link = False
+        if token.closing:
+            if opened[tag] > 0:
+                while here.tag != tag:
+                    leave()
+                leave()
         elif tag not in EMPTY:
             if here.tag == "p" or (here.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                here = here.parent
-            frame, main = _hints(tag, m[4] or "", here)
-            here = Element(tag, here, here.depth + 1, here.frame or frame, here.main or main)
-    if at < len(html):
-        rest = html[at:]
-        cut = rest.find("<")  # a tag that the end of the page cuts off
-        held.append(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut : cut + 3]) else rest[:cut])
+                leave()
+            here = Element(tag, here, here.depth + 1, _part(token, here))
+            opened[tag] += 1
     close()
     return out

@@ -1,12 +1,13 @@
 """Operator 6: main text of web pages by minimum-cut labelling.
 
-A page's text blocks are the nodes of a graph. A classifier's log odds, from the text and from hints of the elements around, are the
-capacities to the two terminals; blocks that are next to each other in page order or in one container are joined by edges that
-weaken with their distance in the document tree. The minimum cut, found by augmenting paths, separates content from boilerplate.
+A page's text blocks are the nodes of a graph. A classifier's log odds are the capacities to the two terminals; tags, roles and words
+in class names are features like the text's. Blocks that are next to each other in page order or in one container are joined by edges
+that weaken with their distance in the document tree. The minimum cut, found by augmenting paths, separates content from boilerplate.
 """
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -18,56 +19,84 @@ from pyspark.sql import functions as F
 from .common import bound_batches, table
 from .html_blocks import Block, blocks
 
-#: Pages that the text classifier is fitted on, about; the log odds of a hint; the capacity of an edge at distance 0.
-SAMPLE, HINT, EDGE = 400, 9.0, 4.0
-#: Pull of the fit towards these weights: bias, log words, link share, sentence end, heading, list item, place (fixed values).
-PRIOR = np.array([-0.5, 1.2, -4.0, 1.0, 1.5, -0.5, 0.0])
+#: Pages that the classifier is fitted on, about; the capacity of an edge at distance 0, and what is left of it a step; log odds that a block has at most.
+SAMPLE, EDGE, FADE, MOST = 400, 16.0, 0.4, 8.0
+#: Pull of the fit towards these weights (fixed values). From the text: bias, log words, link share, sentence end, heading, list item or
+#: cell, place in the page, a mark of rights. From the markup: in a main part, in a frame, in a main part within a frame where
+#: the page has no other, outside the main part of a page that has one.
+PRIOR = np.array([-0.5, 1.2, -4.0, 1.0, 1.5, -0.5, 0.0, -4.0, 4.0, -7.0, 1.5, -4.0])
+TEXT = 8
+ITEMS = frozenset(("li", "td", "th", "dt", "dd"))
+RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
+FRAME_STEPS = 2
+#: Strength of that pull against the mean loss of a row.
+PULL = 0.01
 
 
 def features(page: list[Block]) -> np.ndarray:
-    n = max(len(page), 1)
-    return np.array([[1.0, np.log1p(b.text.count(" ") + 1) - 2, b.linked / len(b.text), b.text[-1] in ".!?…:;\"'”»)", b.element.tag[:1] == "h" and b.element.tag[1:].isdigit(), b.element.tag in ("li", "td", "th", "dt", "dd"), abs(2 * i / n - 1)] for i, b in enumerate(page)], float).reshape(-1, len(PRIOR))
+    """A row a block: TEXT columns from the text and its place, and the others from the markup."""
+    n = len(page)
+    marked = any(b.element.part == "main" for b in page)
+    rows = [
+        [1.0, np.log1p(b.text.count(" ") + 1) - 2, b.linked / len(b.text), b.text[-1] in ".!?…:;\"'”»)", b.element.tag[:1] == "h" and b.element.tag[1:].isdigit(), b.element.tag in ITEMS, abs(2 * i / n - 1), RIGHTS.search(b.text[:200]) is not None,
+         b.element.part == "main", b.element.part == "frame", b.element.part == "mixed" and not marked, marked and b.element.part in ("", "mixed")]
+        for i, b in enumerate(page)
+    ]
+    return np.array(rows, float).reshape(-1, len(PRIOR))
 
 
 def weak_labels(page: list[Block]) -> np.ndarray:
-    """1: in a main part, 0: in the page's frame, -1: not known."""
-    return np.array([0 if b.element.frame else 1 if b.element.main else -1 for b in page], int)
+    """1: in a main part, 0: in the page's frame or outside the main part, -1: not known."""
+    marked = any(b.element.part == "main" for b in page)
+    known = {"main": 1, "frame": 0, "mixed": -1, "": 0 if marked else -1}
+    return np.array([known[b.element.part] for b in page], int)
+
+
+def without_markup(x: np.ndarray) -> np.ndarray:
+    """The same rows as of a page whose markup tells nothing."""
+    return np.where(np.arange(x.shape[1]) < TEXT, x, 0.0)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, with a Gaussian prior around PRIOR; the two labels weigh alike."""
+    """Logistic regression by Newton steps, with a Gaussian prior around PRIOR; the two labels weigh alike. Each row counts twice, with
+    its markup and without, so that the text's weights are learned for pages whose markup tells nothing."""
     w = PRIOR.copy()
     if not ((y == 1).any() and (y == 0).any()):
         return w
+    x, y = np.concatenate([x, without_markup(x)]), np.concatenate([y, y])
     weight = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum()) * len(y) / 2
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) / len(y) + 0.05 * (w - PRIOR)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + 0.05 * np.eye(len(w))
+        grad = x.T @ (weight * (p - y)) / len(y) + PULL * (w - PRIOR)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + PULL * np.eye(len(w))
         w = w - np.linalg.solve(hess, grad)
     return w
 
 
 def distance(a: Block, b: Block) -> int:
-    """Steps between two blocks' elements in the document tree."""
+    """Steps between two blocks' elements in the document tree; the border of a frame counts for FRAME_STEPS more."""
     x, y, n = a.element, b.element, 0
     while x is not y:
-        if x.depth >= y.depth:
-            x = x.parent
-        else:
-            y = y.parent
-        n += 1
+        lower = x if x.depth >= y.depth else y
+        n += 1 + FRAME_STEPS * (lower.part == "frame" and lower.parent.part != "frame")
+        x, y = (x.parent, y) if lower is x else (x, y.parent)
     return n
 
 
 def edges(page: list[Block]) -> list[tuple[int, int, float]]:
+    """Links of blocks with their capacities, by distance in the tree: neighbours in page order, a block and the last one before it in
+    its container (less the more blocks are between them), and the items of a list or table and the block that leads to them, if their
+    markup says the same."""
     out, last = [], {}
     for i, b in enumerate(page):
         if i:
-            out.append((i - 1, i, EDGE * 0.5 ** distance(page[i - 1], b)))
+            out.append((i - 1, i, EDGE * FADE ** distance(page[i - 1], b)))
         box = b.element.parent or b.element
         if box in last and last[box] != i - 1:
-            out.append((last[box], i, EDGE / 4))
+            out.append((last[box], i, EDGE * FADE ** (1 + i - last[box])))
+        near = last.get(box.parent, i - 1)
+        if b.element.tag in ITEMS and near != i - 1 and page[near].element.part == b.element.part:
+            out.append((near, i, EDGE * FADE ** distance(page[near], b)))
         last[box] = i
     return out
 
@@ -112,16 +141,19 @@ def source_side(odds: np.ndarray, links: list[tuple[int, int, float]]) -> np.nda
     return done
 
 
+def log_odds(page: list[Block], weights: np.ndarray) -> np.ndarray:
+    """The classifier's verdict on each block by itself: content where positive."""
+    return np.clip(features(page) @ weights, -MOST, MOST)
+
+
+def content(page: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Which blocks are on the content's side of the minimum cut."""
+    return source_side(log_odds(page, weights), edges(page)) if page else np.zeros(0, bool)
+
+
 def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
     page = blocks(html or "")
-    if not page:
-        return ""
-    hint = np.array([-2 * HINT if b.element.frame else HINT if b.element.main else 0.0 for b in page])
-    odds = np.clip(features(page) @ weights, -HINT / 2, HINT / 2) + hint
-    if any(b.element.main and not b.element.frame for b in page):
-        odds -= np.where(hint == 0, HINT, 0.0)  # where a page marks its main part, the rest is not in it
-    content = source_side(odds, edges(page))
-    return "\n".join(b.text for b, c in zip(page, content, strict=True) if c)
+    return "\n".join(b.text for b, c in zip(page, content(page, weights), strict=True) if c)
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -144,7 +176,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row page_id, url, text (the main text, its blocks joined by newlines; empty if none) and n_chars.
 
-    A null html is an empty page. Repeated rows give repeated results. An empty table gives no rows. Other columns, whatever their
+    A null html is an empty page. Ties (a block that the cut may leave on either side) go to boilerplate. Repeated rows give repeated results. An empty table gives no rows. Other columns, whatever their
     names, are not read.
     """
     bound_batches(pages.sparkSession)

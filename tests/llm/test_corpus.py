@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -207,6 +209,75 @@ def test_cut_is_minimal():
         assert cost(main_text.source_side(odds, links).astype(int).tolist()) == pytest.approx(best)
 
 
+def anonymous(html):
+    """The page without any tag or class that tells its parts, and with a third of its paragraphs beginning with a list."""
+
+    def listed(m):
+        words = re.sub(r"<[^>]*>", "", m[1]).split()
+        if len(words) % 3 or len(words) < 9:
+            return "<p>" + m[1]
+        return "<ul>" + "".join("<li>" + " ".join(words[k : k + 3]) + "</li>" for k in range(0, 9, 3)) + "</ul><p>" + " ".join(words[9:])
+
+    marked = re.sub(r"(<article>.*</article>)", lambda a: re.sub(r"<p>((?:(?!</?p>|</article>).)*)", listed, a[1]), html, flags=re.S)
+    return marked, re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", marked))
+
+
+def test_cut_mends_labels_of_the_classifier(spark, small):
+    pages = spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet")
+    weights = main_text.fit(pages)
+    wrong, mended, changed = 0, 0, 0
+    for html in [r["html"] for r in pages.select("html").collect()]:
+        marked, bare = anonymous(html)
+        truth = np.array([b.element.part == "main" for b in html_blocks.blocks(marked)])
+        assert main_text.main_text(marked, weights) == "\n".join(b.text for b, t in zip(html_blocks.blocks(marked), truth, strict=True) if t)
+        page = html_blocks.blocks(bare)
+        alone, cut = main_text.log_odds(page, weights) > 0, main_text.content(page, weights)
+        if len(page) == len(truth):
+            wrong, mended, changed = wrong + (alone != truth).sum(), mended + (cut != truth).sum(), changed + (alone != cut).sum()
+    assert changed > 100 and mended < 0.7 * wrong
+
+
+def test_query_is_brute_force_labelling(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()} | {-1: anonymous(PAGE)[1], -2: "<div>a</div><div>b c d e f g h.</div>"}
+    rows = [(i, "u", h) for i, h in html.items()]
+    weights = main_text.fit(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    seen = 0
+    for r in main_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        page = html_blocks.blocks(html[r["page_id"]])
+        if not 0 < len(page) <= 14:
+            continue
+        odds, links = main_text.log_odds(page, weights), main_text.edges(page)
+        side = (np.arange(1 << len(page))[:, None] >> np.arange(len(page))) & 1
+        cost = side @ np.maximum(-odds, 0) + (1 - side) @ np.maximum(odds, 0) + sum(c * (side[:, a] != side[:, b]) for a, b, c in links)
+        best = side[np.argmin(np.round(cost, 9) + 1e-12 * side.sum(axis=1))]
+        assert r["text"] == "\n".join(b.text for b, x in zip(page, best, strict=True) if x)
+        seen += 1
+    assert seen > 5
+
+
+def test_parts_that_are_not_the_article():
+    long = "Some words in a sentence here and there, and it goes on for quite a while so that it is long enough for a paragraph."
+    take = lambda h: main_text.main_text(h).replace(long, "L").split("\n")
+    assert take(f'<article><p>{long}</p><div class="ad">Buy this now, it is good.</div><p>{long}</p></article>') == ["L", "L"]
+    assert take(f'<article><p>{long}</p><aside><p>{long}</p></aside><p>Short.</p><div class="comments"><p>{long}</p><p>ok</p></div></article>') == ["L", "Short."]
+    assert take(f'<div class="sidebar-layout"><article><h1>T</h1><p>{long}</p><p>Short.</p></article></div>') == ["T", "L", "Short."]
+    assert take(f"<main><h1>T</h1><p>{long}</p></main><aside><article><p>{long}</p></article></aside>") == ["T", "L"]
+    assert take(f'<body><div class="cookie-notice"><p>{long}</p></div><div class=story><h2>T</h2><ul><li>one<li>two</ul></div><form>Mail <input></form>') == ["T", "one", "two"]
+
+
+@pytest.mark.parametrize("piece", ["<script", "<a ", '<a "', '<a b="', "<a b='", "<!--", "<", "</", "<svg>", "<div>", "</p>", "<p>x", "<a =", "&#9", " ="])
+def test_hostile_pages_take_linear_time(piece):
+    page = "<div>" * 1000 + piece * 50_000
+    began = time.time()
+    html_blocks.blocks(page)
+    assert time.time() - began < 2
+
+
+def test_numbers_of_characters():
+    assert html_blocks.blocks(f"<p>&#0000000065;&#x{'0' * 20}42; &#{'9' * 6000}; &#x{'f' * 6000};c")[0].text == "AB � �c"
+
+
 def test_blocks_of_malformed_pages():
     got = html_blocks.blocks("<p>a<p>b</div>c<ul><li>d<li>e</ul><table><tr><td>f<td>g</table>h <!-- i --> j<br>k <b")
     assert [b.text for b in got] == ["a", "b", "c", "d", "e", "f", "g", "h j k"]
