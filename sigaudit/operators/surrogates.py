@@ -43,17 +43,24 @@ def gaussian(windows: DataFrame, seed: int, x: str = "x", row: str = "window_id"
 
 
 def iaaft_rows(x: np.ndarray, start: np.ndarray, iterations: int = 20) -> np.ndarray:
-    """Iterative amplitude-adjusted Fourier surrogates of rows, from shuffled rows. The last step imposes the spectrum, so amplitudes
-    of the spectrum are exact and values approximate."""
-    target, ordered, out = np.abs(np.fft.rfft(x, axis=1)), np.sort(x, axis=1), start
-
-    def spectrum(rows: np.ndarray) -> np.ndarray:
-        return np.fft.irfft(target * np.exp(1j * np.angle(np.fft.rfft(rows, axis=1))), x.shape[1], axis=1)
-
-    for _ in range(iterations):
-        ranks = np.argsort(np.argsort(spectrum(out), axis=1, kind="stable"), axis=1, kind="stable")
-        out = np.take_along_axis(ordered, ranks, axis=1)
-    return spectrum(out)
+    """Amplitude-adjusted Fourier surrogates of rows: the values of start, dealt out anew until they go with the spectrum of x.
+
+    The amplitudes of the result's spectrum are those of x; its values are close to those of x.
+    """
+    size = x.shape[1]
+    amplitude = np.abs(np.fft.rfft(x))
+    values = np.sort(x)
+    surrogate = start.astype(float)
+    for step in range(iterations + 1):
+        bins = np.fft.rfft(surrogate)
+        length = np.abs(bins)
+        phase = np.divide(bins, length, out=np.ones_like(bins), where=length > 0)
+        smooth = np.fft.irfft(amplitude * phase, n=size)
+        if step == iterations:
+            return smooth
+        # the smallest place gets the smallest value, and so on
+        np.put_along_axis(surrogate, smooth.argsort(kind="stable"), values, axis=1)
+    return surrogate
 
 
 def iaaft(windows: DataFrame, seed: int, x: str = "x", row: str = "window_id") -> DataFrame:
