@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rng import bits, draw
+from .rng import draw
 
 
 def argmax_label(a: Column, b: Column) -> Column:
@@ -129,16 +133,48 @@ def auroc_bootstrap(rows: DataFrame, score: str, reps: int, seed: int, key: str
     return sizes.join(won, "rep", "left").select("rep", (F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auroc"))
 
 
-def interval(reps: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:
-    """ci_lo, ci_hi: linearly interpolated quantiles of a value over replicates."""
-    v = reps.select(value.alias("v"))
-    return v.agg(F.expr(f"percentile(v, {alpha / 2})").alias("ci_lo"), F.expr(f"percentile(v, {1 - alpha / 2})").alias("ci_hi"), F.count("v").alias("reps"))
+def interval(reps: DataFrame, value: Column, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
+    """ci_lo, ci_hi: linearly interpolated quantiles of a value over replicates (of each key)."""
+    v = reps.select(*(keys or []), value.alias("v"))
+    return v.groupBy(*(keys or [])).agg(F.expr(f"percentile(v, {alpha / 2})").alias("ci_lo"), F.expr(f"percentile(v, {1 - alpha / 2})").alias("ci_hi"), F.count("v").alias("reps"))
+
+
+def bootstrap_by(stats: DataFrame, keys: list[str], sums: list[str], reps: int, seed: int, key: str = "subject") -> DataFrame:
+    """(keys, rep, sums): the cluster bootstrap of every cell (keys), whose subjects are numbered in their order."""
+    order, whole = Window.partitionBy(*keys).orderBy(key), Window.partitionBy(*keys)
+    rows = stats.select(*keys, key, *sums).withColumn("idx", (F.row_number().over(order) - 1).cast("bigint")).withColumn("n_keys", F.count("*").over(whole))
+    each = rows.select(*keys, "n_keys", F.col("idx").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    draws = each.select(*keys, "rep", draw(F.col("n_keys"), seed, F.col("rep"), F.col("k")).alias("idx")).groupBy(*keys, "rep", "idx").agg(F.count("*").alias("times"))
+    return draws.join(rows, [*keys, "idx"]).groupBy(*keys, "rep").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in sums))
+
+
+def hypergeometric_draws(n: int, ones: int, picked: int, u: np.ndarray) -> np.ndarray:
+    """How many of ones among n are among picked drawn without replacement, by the inverse distribution at each u."""
+    low, high = max(0, ones + picked - n), min(ones, picked)
+    t = np.arange(low + 1, high + 1, dtype=float)
+    steps = np.log((ones - t + 1) * (picked - t + 1) / (t * (n - ones - picked + t)))
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    share = np.cumsum(np.exp(weight - weight.max()))
+    return low + np.minimum(np.searchsorted(share / share[-1], u, "left"), high - low)
+
+
+def matched_floor(counts: DataFrame, keys: list[str], reps: int, seed: int, key: str = "subject") -> DataFrame:
+    """(keys, floor_mean, floor_p95) of macro F1 with the labels shuffled within each subject and the predictions fixed.
+
+    counts: tp, fp, fn, tn a subject. A shuffle changes a subject's counts alone, and those by the hypergeometric law, so that replicates
+    are drawn from the counts and never from rows.
+    """
 
+    @F.pandas_udf("array<bigint>")
+    def hits(who: pd.Series, tp: pd.Series, fp: pd.Series, fn: pd.Series, tn: pd.Series) -> pd.Series:
+        out = []
+        for k, a, b, c, d in zip(who, tp, fp, fn, tn, strict=True):
+            u = np.array([int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) for r in range(reps)])
+            out.append(hypergeometric_draws(a + b + c + d, a + c, a + b, (u + 0.5) / 2.0**32))
+        return pd.Series(out)
 
-def permuted_within(rows: DataFrame, reps: int, seed: int, key: str = "subject", row: str = "window_id") -> DataFrame:
-    """Per replicate the rows with y shuffled within each key (yp), yhat fixed."""
-    spark = rows.sparkSession
-    every = rows.crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))
-    base = every.withColumn("a", F.row_number().over(Window.partitionBy("rep", key).orderBy(row)))
-    moved = every.withColumn("a", F.row_number().over(Window.partitionBy("rep", key).orderBy(bits(seed, F.col("rep"), F.col(row)), row)))
-    return base.select("rep", key, "a", "yhat").join(moved.select("rep", key, "a", F.col("y").alias("yp")), ["rep", key, "a"])
+    drawn = counts.withColumn("hits", hits(F.col(key).cast("string"), "tp", "fp", "fn", "tn"))
+    each = drawn.select(*keys, "tp", "fp", "fn", "tn", F.posexplode("hits").alias("rep", "hit"))
+    moved = F.col("hit") - F.col("tp")
+    sums = each.groupBy(*keys, "rep").agg(F.sum("hit").alias("tp"), F.sum(F.col("fp") - moved).alias("fp"), F.sum(F.col("fn") - moved).alias("fn"), F.sum(F.col("tn") + moved).alias("tn"))
+    return sums.select(*keys, macro_f1().alias("f")).groupBy(*keys).agg(F.avg("f").alias("floor_mean"), F.expr("percentile(f, 0.95)").alias("floor_p95"))

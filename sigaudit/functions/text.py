@@ -67,16 +67,15 @@ def prompt(body: Column, template: str, examples: Column | None = None, meanings
     return F.concat(F.lit(head), shown, body, F.lit(rest.removeprefix("{body}")))
 
 
-def first_number(text: Column, digits: int = 18) -> Column:
-    """The first number of a text as double; null if there is none, or if it has more than so many digits."""
-    found = F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0)
-    return F.when(F.length(found).between(1, digits), found.cast("double"))
+def first_number(text: Column) -> Column:
+    """The first number of a text as double; null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
 
 
-def label_of(sentence: Column) -> Column:
-    """N of a sentence '... is N'; raises if there is none."""
-    found = F.regexp_extract(sentence, r"is (\d+)", 1)
-    return F.when(found == "", F.raise_error(F.lit("no label"))).otherwise(F.nullif(found, F.lit(""))).cast("int")
+def label_of(sentence: Column, strict: bool = True) -> Column:
+    """N of a sentence '... is N'. If there is none, or no whole number of 32 bits: an error, or null if not strict."""
+    found = F.nullif(F.regexp_extract(sentence, r"is (\d+)", 1), F.lit("")).try_cast("int")
+    return F.coalesce(found, F.raise_error(F.lit("no label"))) if strict else found
 
 
 def bracket_list(text: Column, name: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import bits
+from .ranks import left_out_medians, left_out_shares
 
 
 def loso(rows: DataFrame, key: str = "subject") -> DataFrame:
@@ -16,23 +17,16 @@ def loso(rows: DataFrame, key: str = "subject") -> DataFrame:
 
 def train_medians(rows: DataFrame, features: list[str], key: str = "subject") -> DataFrame:
     """Per held-out subject the exact medians of the others' features; missing values are passed over."""
-    f = loso(rows, key)
-    return f.join(rows.select(F.col(key).alias("train_subject"), *features), "train_subject").groupBy("test_subject").agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"median_{c}") for c in features))
+    found = left_out_medians(rows, features, key).groupBy("key").agg(*(F.max(F.when(F.col("f") == c, F.col("median"))).alias(f"median_{c}") for c in features))
+    subjects = rows.select(F.col(key).alias("key")).distinct()
+    return subjects.join(found, "key", "left").withColumnRenamed("key", "test_subject")
 
 
-def train_percentile(rows: DataFrame, feature: str, key: str = "subject") -> DataFrame:
-    """Share, in percent, of the other subjects' values that are at most a row's: counts of all rows less those of its own subject, so
-    that no row meets another."""
-    some = rows.where(F.col(feature).isNotNull())
-    own = some.groupBy(key, feature).count()
-    by_value = own.groupBy(feature).agg(F.sum("count").alias("c"))
-    running = by_value.withColumn("at_most", F.sum("c").over(Window.orderBy(feature)))
-    own_running = own.withColumn("own_at_most", F.sum("count").over(Window.partitionBy(key).orderBy(feature)))
-    sizes = some.groupBy(key).agg(F.count("*").alias("own_n"))
-    total = some.agg(F.count("*").alias("all_n"))
-    out = own_running.join(running.select(feature, "at_most"), feature).join(sizes, key).crossJoin(F.broadcast(total))
-    share = 100.0 * (F.col("at_most") - F.col("own_at_most")) / F.nullif(F.col("all_n") - F.col("own_n"), F.lit(0))
-    return some.join(out.select(key, feature, share.alias("percentile")), [key, feature])
+def train_percentile(rows: DataFrame, feature: str, key: str = "subject", decimals: int = 9) -> DataFrame:
+    """Share, in percent, of the other subjects' values that are at most a row's; values that agree in so many decimals are equal."""
+    some = rows.where(F.col(feature).isNotNull()).withColumn("v", F.round(feature, decimals))
+    shares = left_out_shares(some, ["v"], key).select(F.col("key").alias(key), "v", (100.0 * F.col("share")).alias("percentile"))
+    return some.join(shares, [key, "v"]).drop("v")
 
 
 def majority(rows: DataFrame, key: str = "subject", label: str = "y") -> DataFrame:
@@ -52,10 +46,16 @@ def dev_split(rows: DataFrame, n_dev: int, seed: int, key: str = "subject") -> D
     return s.withColumn("role", F.when(r <= n_dev, "dev").otherwise("eval"))
 
 
-def exemplars(rows: DataFrame, n: int, seed: int, label: str = "y", row: str = "window_id") -> DataFrame:
-    """Up to n / 2 rows of each class, of the smallest draws; class 0 first. The limit reaches the map side, so classes are not gathered."""
-    r = F.row_number().over(Window.partitionBy(label).orderBy(bits(seed, F.col(row)), row))
-    return rows.withColumn("pick", r).where(F.col("pick") <= n // 2)
+def exemplars(rows: DataFrame, n: int, seed: int, label: str = "y", row: str = "window_id", groups: list[str] | None = None) -> DataFrame:
+    """n rows (of each group), n / 2 of each class by the smallest draws, class 0 first; where a class has fewer, its rows are drawn again
+    from the first on. pick numbers a class's rows from 1. The limit reaches the map side, so classes are not gathered."""
+    keys = [*(groups or []), label]
+    half = n // 2
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(bits(seed, F.col(row)), row))
+    first = rows.withColumn("r", r).where(F.col("r") <= half)
+    have = F.count("*").over(Window.partitionBy(*keys))
+    again = F.explode(F.sequence(F.col("r"), F.lit(half), F.col("have")))
+    return first.withColumn("have", have.cast("int")).withColumn("pick", again).drop("r", "have")
 
 
 def complement(pool: DataFrame, held: DataFrame, body: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -54,36 +58,51 @@ def wilcoxon_statistic(pairs: DataFrame, a: str, b: str, keys: list[str]) -> Dat
     return w.withColumn("statistic", F.least("w_plus", "w_minus"))
 
 
-def wilcoxon_p(differences: list[float]) -> float | None:
-    """Two-sided p of the signed-rank test; None below five pairs or without a difference. Exact for up to 50 untied non-zero
-    differences, by all sign patterns for up to 13 pairs, else normal."""
-    import math
+#: Pairs up to which the signed-rank test is exact even with ties, and up to which it is without.
+FEW, EXACT = 13, 50
 
-    import numpy as np
 
-    every = np.asarray(differences, float)
-    d = every[every != 0]
-    if len(every) < 5 or not len(d):
+def signed_rank_p(pairs: int, used: int, plus: float, ties: float, ranks: list[float] | None) -> float | None:
+    """Two-sided p of the signed-rank test from its sums: used pairs differ, ties is the sum of t^3 - t over groups of t equal sizes.
+    None below five pairs or without a difference. ranks: of the used pairs, where there are few."""
+    if pairs < 5 or not used:
         return None
-    size = np.abs(d)
-    order = np.sort(size)
-    rank = (np.searchsorted(order, size, "left") + np.searchsorted(order, size, "right") + 1) / 2
-    plus = rank[d > 0].sum()
-    tied = len(np.unique(size)) < len(size) or len(d) < len(every)
-    if (not tied and len(d) <= 50) or len(every) <= 13:
-        sums = {0.0: 1}
-        for r in rank:
-            following: dict[float, int] = dict(sums)
-            for s, n in sums.items():
-                following[s + r] = following.get(s + r, 0) + n
-            sums = following
-        low = sum(n for s, n in sums.items() if s <= plus + 1e-9)
-        high = sum(n for s, n in sums.items() if s >= plus - 1e-9)
-        return min(1.0, 2 * min(low, high) / 2 ** len(d))
-    n = len(d)
-    _, t = np.unique(size, return_counts=True)
-    se = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48)
-    return math.erfc(abs(plus - n * (n + 1) / 4) / se / math.sqrt(2))
+    plain = ties == 0 and used == pairs
+    if pairs <= FEW or (plain and used <= EXACT):
+        ways = np.array([1.0])  # by twice the sum of ranks
+        for r in range(1, used + 1) if plain else ranks:
+            step = round(2 * r)
+            ways = np.concatenate([ways, np.zeros(step)]) + np.concatenate([np.zeros(step), ways])
+        at, share = round(2 * plus), ways / 2.0**used
+        return float(min(1.0, 2 * min(share[: at + 1].sum(), share[at:].sum())))
+    middle, spread = used * (used + 1) / 4, math.sqrt(used * (used + 1) * (2 * used + 1) / 24 - ties / 48)
+    return math.erfc(abs(plus - middle) / spread / math.sqrt(2)) if spread else None
+
+
+def wilcoxon(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """(keys, n_pairs, n, w_plus, statistic, p) of the paired signed-rank test. Ranks are windows and sums; only up to FEW are gathered."""
+    d = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.round(F.col(a) - F.col(b), 9)).withColumn("n_pairs", F.count("*").over(Window.partitionBy(*keys)))
+    used = d.where("d <> 0").withColumn("m", F.abs("d"))
+    used = used.withColumn("r", metrics.midrank("m", keys)).withColumn("alike", F.count("*").over(Window.partitionBy(*keys, "m")))
+    sums = used.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("alike") * F.col("alike") - 1).cast("double").alias("ties"), F.collect_list(F.when(F.col("n_pairs") <= FEW, F.col("r"))).alias("ranks"))
+    every = d.groupBy(*keys).agg(F.first("n_pairs").alias("n_pairs")).join(sums, keys, "left")
+
+    @F.pandas_udf("double")
+    def p(n_pairs: pd.Series, n: pd.Series, plus: pd.Series, ties: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(*x) for x in zip(n_pairs, n, plus, ties, ranks, strict=True)], dtype=float)
+
+    filled = every.select(*keys, "n_pairs", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce(F.least("w_plus", "w_minus"), F.lit(0.0)).alias("statistic"), F.coalesce("ties", F.lit(0.0)).alias("ties"), F.coalesce("ranks", F.array().cast("array<double>")).alias("ranks"))
+    return filled.withColumn("p", F.nanvl(p("n_pairs", "n", "w_plus", "ties", "ranks"), F.lit(None))).drop("ties", "ranks")
+
+
+def wilcoxon_p(differences: list[float]) -> float | None:
+    """p of a few differences that are at hand."""
+    every = np.round(np.asarray(differences, float), 9)
+    d = every[every != 0]
+    order = np.sort(np.abs(d))
+    ranks = (np.searchsorted(order, np.abs(d), "left") + np.searchsorted(order, np.abs(d), "right") + 1) / 2
+    alike = np.unique(order, return_counts=True)[1]
+    return signed_rank_p(len(every), len(d), float(ranks[d > 0].sum()), float((alike**3 - alike).sum()), ranks.tolist())
 
 
 def markdown(rows: DataFrame, title: str) -> str:

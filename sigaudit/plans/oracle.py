@@ -11,7 +11,7 @@ wins as (select *, start_s + k * 216000.0::double as t0 from (select *, cast(unn
 VALUES = WINDOWS + """, vals as (select w.recording, w.k, w.t0, s.i, s.t_s, s.v, s.code from wins w join samples s on s.recording = w.recording and s.t_s >= w.t0 and s.t_s < w.t0 + 432000)"""
 MATRIX = VALUES + """, stepped as (select *, abs(v - lag(v) over (partition by recording, k order by i)) as step from vals),
 fm as (select recording as subject, recording || ':' || k as window_id, k, cast(5 * count(*) filter (code = 'purchase') > count(*) as int) as y, count(*) as n, avg(v) as f_mean, case when count(*) >= 6 then stddev_samp(v) end as f_sd, quantile_cont(v, 0.5) as f_median, avg(step) as f_step, max(v) as f_max from stepped group by recording, k),
-m15 as (select * replace ('U' || (cast(subject as bigint) % 15) as subject) from fm),
+m15 as (select * from fm),
 med as (select a.subject as test_subject, quantile_cont(b.f_mean, 0.5) as median_f_mean, quantile_cont(b.f_sd, 0.5) as median_f_sd, quantile_cont(b.f_median, 0.5) as median_f_median, quantile_cont(b.f_step, 0.5) as median_f_step, quantile_cont(b.f_max, 0.5) as median_f_max from (select distinct subject from m15) a join m15 b on a.subject <> b.subject group by a.subject)"""
 VOTES = MATRIX + """, voted as (select m.subject, m.window_id, m.y, cast({sign} * (
  case when f_mean is null then 0 when coalesce(f_mean > median_f_mean, false) then 1 else -1 end + case when f_sd is null then 0 when coalesce(f_sd > median_f_sd, false) then -1 else 1 end
@@ -35,15 +35,22 @@ def bits(*parts: str) -> str:
     return "cast('0x' || substr(md5(" + " || ':' || ".join(f"cast({p} as varchar)" for p in parts) + "), 1, 8) as bigint)"
 
 
+def floor_sql(given: str, keys: str, reps: int = 1000) -> str:
+    """The matched floor of counts a subject (given: a table with the keys, subject, tp, fp, fn, tn): hypergeometric draws."""
+    return f"""hyp as (select {keys}, subject, tp + fp + fn + tn as n, tp + fn as ones, tp + fp as picked, greatest(0, tp + fn + tp + fp - (tp + fp + fn + tn)) as low, least(tp + fn, tp + fp) as high from {given}),
+sup as (select *, unnest(generate_series(cast(low as bigint), cast(high as bigint))) as t from hyp),
+lw as (select *, sum(case when t = low then 0.0::double else ln((ones - t + 1) * (picked - t + 1) / (t * (n - ones - picked + t))::double) end) over (partition by {keys}, subject order by t) as lw from sup),
+wt as (select *, exp(lw - max(lw) over (partition by {keys}, subject)) as w from lw),
+cdf as (select *, sum(w) over (partition by {keys}, subject order by t) / sum(w) over (partition by {keys}, subject) as c from wt),
+hits as (select {keys}, subject, rep, any_value(n) as n, any_value(ones) as ones, any_value(picked) as picked, min(t) as hit from cdf cross join (select unnest(generate_series(0, {reps - 1})) as rep) where c >= ({bits('1337', 'rep', 'subject')} + 0.5) / 4294967296.0::double or t = high group by {keys}, subject, rep),
+fl as (select {keys}, avg(v) as floor_mean, quantile_cont(v, 0.95) as floor_p95 from (select {keys}, {f1()} as v from (select {keys}, rep, sum(hit) as tp, sum(picked - hit) as fp, sum(ones - hit) as fn, sum(n - ones - picked + hit) as tn from hits group by {keys}, rep)) group by {keys})"""
+
+
+FLOOR = floor_sql("st0", "g")
 BA = "(tp / nullif(cast(tp + fn as double), 0) + tn / nullif(cast(tn + fp as double), 0)) / 2"
-CELLS = SCORED + f""", named as (select *, 'm' || (cast(regexp_extract(subject, '(\\d+)$', 1) as int) % 6) as setup from ok),
-c1 as (select setup, count(*) as n, {counts()} from named group by setup), c2 as (select setup, count(*) as n, {counts('y', 'yhat2')} from named group by setup),
-cells as (select setup, n, {f1()} as macro_f1, {BA} as ba, {f1()} - 0.2 / sqrt(n) as ci_lo, 0.41::double as chance from c1),
-surr as (select setup, {f1()} as f, {BA} as ba from c2),
-rungs as (select setup, 'gaussian' as rung, f as macro_f1_surr, ba as ba_surr, true as is_null from surr union all select setup, 'iaaft', f - 0.01, ba - 0.01, true from surr where setup <> 'm3' union all select setup, 'subject_perm_preserved', f + 0.02, ba + 0.02, false from surr)"""
 GATED = "case when ci_lo > chance then (macro_f1 - macro_f1_surr) / (macro_f1 - chance) end"
 SUBJECTS = "idx as (select *, row_number() over (order by subject) - 1 as idx, count(*) over () as n_keys from st), draws as (select rep, " + bits("1337", "rep", "k") + " % n_keys as idx from (select unnest(generate_series(0, 999)) as rep) cross join (select idx as k, n_keys from idx))"
-ANCHOR = "anchor as (select doc_id, text as body, cast(doc_id % 5 + 1 as int) as label, regexp_extract(text, '-?\\d+(?:\\.\\d+)?', 0) as found from documents), preds as (select *, case when length(found) between 1 and 6 then cast(found as double) end as pred from anchor)"
+ANCHOR = "anchor as (select doc_id, text as body, cast(doc_id % 5 + 1 as int) as label, regexp_extract(text, '-?\\d+(?:\\.\\d+)?', 0) as found from documents), preds as (select *, try_cast(nullif(found, '') as double) as pred from anchor)"
 DONORS = """blk as (select {c} subject, count(*) as own from sig group by {c} subject),
 blocks as (select *, coalesce(cast(sum(own) over ({p} order by subject rows between unbounded preceding and 1 preceding) as bigint), 0) as a, cast(sum(own) over ({p}) as bigint) as n_all from blk),
 placed as (select s.window_id, s.y, b.own, b.a, b.n_all, b.a + row_number() over (partition by {c} subject order by window_id) - 1 as at from sig s join blocks b using ({c} subject)),
@@ -52,11 +59,6 @@ pairs as (select w.window_id, p.window_id as donor from (select window_id, y, ca
 BROKEN = SIG + ", " + DONORS.format(c="", p="", j="")
 PRESERVED = SIG + ", " + DONORS.format(c="y,", p="partition by y", j="and w.y = p.y")
 MID = "rank() over (partition by {k} order by {v}) + (count(*) over (partition by {k}, {v}) - 1) / 2.0::double"
-SWEEP = SCORED + f""", keyed as (select *, {bits("'cell'", "window_id")} % 6 as kk, 'd' || (cast(regexp_extract(subject, '(\\d+)$', 1) as int) % 3) as dataset from scored),
-cell as (select *, case kk % 3 when 0 then 'instruction' when 1 then 'clinical' else 'minimal' end as template_id, cast(case when kk < 3 then 0 else 4 end as int) as n_shot from keyed),
-sweep as (select dataset, template_id, n_shot, {f1()} as macro_f1 from (select dataset, template_id, n_shot, {counts()} from cell group by dataset, template_id, n_shot))"""
-
-
 def rounded(columns: str) -> str:
     return ", ".join(f"round({c}, 6) as {c}" for c in columns.split())
 
@@ -86,7 +88,7 @@ g as (select recording, count(*) as n, avg(b) as m, stddev_samp(b) as s, sqrt(av
 select u.recording, round(case when n >= 4 then m end, 6) as hrv_mean_nn, round(case when n >= 4 then s end, 6) as hrv_sdnn, round(case when n >= 4 then r end, 6) as hrv_rmssd, round(case when n >= 4 then p end, 6) as hrv_pnn50, round(case when n >= 4 then 60000 / m end, 6) as hrv_mean_hr from (select distinct recording from samples) u left join g on u.recording = g.recording"""),
     "loso_folds": q(SIG, "select a.subject as test_subject, b.subject as train_subject from (select distinct subject from sig) a join (select distinct subject from sig) b on a.subject <> b.subject"),
     "loso_train_medians": q(MATRIX, f"select test_subject, {rounded('median_f_mean median_f_sd median_f_median median_f_step median_f_max')} from med"),
-    "train_percentile": q(MATRIX, "select a.window_id, round(100.0 * avg(cast(b.f_mean <= a.f_mean as int)), 6) as percentile from m15 a join m15 b on a.subject <> b.subject where a.f_mean is not null and b.f_mean is not null group by 1"),
+    "train_percentile": q(MATRIX, "select a.window_id, round(100.0 * avg(cast(round(b.f_mean, 9) <= round(a.f_mean, 9) as int)), 6) as percentile from m15 a join m15 b on a.subject <> b.subject where a.f_mean is not null and b.f_mean is not null group by 1"),
     "majority_per_fold": q(MATRIX, ", c as (select a.subject, b.y, count(*) as n from (select distinct subject from m15) a join m15 b on a.subject <> b.subject group by 1, 2) select subject as test_subject, y as majority, n as n_train from (select *, row_number() over (partition by subject order by n desc, y) as r from c) where r = 1"),
     "exemplars_stratified": q(SIG, f"select y, pick, window_id from (select *, row_number() over (partition by y order by {bits('1337', 'window_id')}, window_id) as pick from sig) where pick <= 4"),
     "dev_eval_split": q(SIG, f"select subject, case when row_number() over (order by {bits('1337', 'subject')}, subject) <= 2 then 'dev' else 'eval' end as role from (select distinct subject from sig)"),
@@ -99,17 +101,14 @@ select u.recording, round(case when n >= 4 then m end, 6) as hrv_mean_nn, round(
     "margin_gate": q(SCORED, "select subject, count(*) as n, round(stddev_pop(margin), 6) as sd, count(*) >= 2 and stddev_pop(margin) > 0.126 as varies from ok group by 1"),
     "bootstrap_ci_macro_f1": q(SCORED, f", st as (select subject, {counts()} from ok group by 1), {SUBJECTS}, r as (select rep, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tn) as tn from draws join idx using (idx) group by rep), v as (select {f1()} as v from r) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
     "auroc_ci": q(SCORED, f""", st as (select subject, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from ok group by 1), idx as (select *, row_number() over (order by subject) - 1 as idx, count(*) over () as n_keys from st),
-draws as (select rep, {bits('1337', 'rep', 'k')} % n_keys as idx from (select unnest(generate_series(0, 299)) as rep) cross join (select idx as k, n_keys from idx)), t as (select rep, subject, count(*) as c, any_value(pos) as pos, any_value(neg) as neg from draws join idx using (idx) group by 1, 2),
+draws as (select rep, {bits('1337', 'rep', 'k')} % n_keys as idx from (select unnest(generate_series(0, 999)) as rep) cross join (select idx as k, n_keys from idx)), t as (select rep, subject, count(*) as c, any_value(pos) as pos, any_value(neg) as neg from draws join idx using (idx) group by 1, 2),
 w as (select a.subject as s, b.subject as t, sum(case when round(a.margin, 9) > round(b.margin, 9) then 1.0 when round(a.margin, 9) = round(b.margin, 9) then 0.5 else 0 end)::double as won from ok a join ok b on a.y = 1 and b.y = 0 group by 1, 2),
 z as (select rep, cast(sum(c * pos) as double) * cast(sum(c * neg) as double) as pn from t group by 1), u as (select a.rep, sum(a.c * b.c * w.won) as u from t a join t b on a.rep = b.rep join w on w.s = a.subject and w.t = b.subject group by 1), v as (select u / nullif(pn, 0) as v from z left join u using (rep))
 select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"""),
     "paired_delta_ci": q(SCORED, f", st as (select subject, {counts()}, {counts('y', 'yhat2', '2')} from ok group by 1), {SUBJECTS}, r as (select rep, " + ", ".join(f"sum({n}) as {n}" for n in "tp fp fn tn tp2 fp2 fn2 tn2".split()) + f" from draws join idx using (idx) group by rep), v as (select {f1()} - {f1('2')} as v from r) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
     "flip_rate_ci": q(SCORED, f", st as (select subject, sum(cast(yhat <> yhat2 as int)) as flips, count(*) as n from ok group by 1), {SUBJECTS}, v as (select rep, sum(flips) / cast(sum(n) as double) as v from draws join idx using (idx) group by rep) select round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi, count(v) as reps from v"),
     "flip_rates": q(SCORED, "select subject, count(*) as n, round(avg(cast(yhat <> yhat2 as int)), 6) as flip_rate from ok group by rollup (subject)"),
-    "matched_floor": q(SCORED, f""", ev as (select rep, subject, window_id, y, yhat from ok cross join (select unnest(generate_series(0, 199)) as rep)), b as (select rep, subject, yhat, row_number() over (partition by rep, subject order by window_id) as a from ev),
-m as (select rep, subject, y as yp, row_number() over (partition by rep, subject order by {bits('1337', 'rep', 'window_id')}, window_id) as a from ev), c as (select rep, {counts('yp', 'yhat')} from b join m using (rep, subject, a) group by rep), v as (select {f1()} as f from c) select round(avg(f), 6) as floor_mean, round(quantile_cont(f, 0.95), 6) as floor_p95 from v"""),
-    "sds_gated": q(CELLS, f"select setup, rung, round({GATED}, 6) as sds from cells join rungs using (setup)"),
-    "neutralization": q(CELLS, ", v as (select setup, macro_f1 - chance as i, f - chance as ii, case when ci_lo > chance and macro_f1 <> chance then ((macro_f1 - chance) - (f - chance)) / (macro_f1 - chance) end as loss from cells join surr using (setup)) select setup, round(i, 6) as margin_i, round(ii, 6) as margin_ii, round(loss, 6) as loss, coalesce(loss > 0.5, false) as p2 from v"),
+    "matched_floor": q(SCORED, f", st0 as (select 0 as g, subject, {counts()} from ok group by subject), {FLOOR} select round(floor_mean, 6) as floor_mean, round(floor_p95, 6) as floor_p95 from fl"),
     "holm_adjust": "with p as (select s_suppkey, s_nationkey % 4 as family, case when s_suppkey % 7 <> 0 then (s_suppkey * 37 % 1009) / 10090.0::double end as p from supplier), w as (select *, row_number() over (partition by family order by p, s_suppkey) as r, count(*) over (partition by family) as m from p where p is not null), a as (select s_suppkey, family, p, least(1.0, max((m - r + 1) * p) over (partition by family order by r)) as p_holm from w union all select s_suppkey, family, p, null from p where p is null) select s_suppkey, family, round(p, 6) as p, round(p_holm, 6) as p_holm from a",
     "wilcoxon_statistic": q(SCORED, f", d as (select subject, margin - margin2 as d, round(abs(margin - margin2), 9) as m from ok where margin <> margin2), r as (select *, {MID.format(k='subject', v='m')} as r from d), g as (select subject, count(*) as n, sum(case when d > 0 then r else 0 end) as w_plus, sum(case when d < 0 then r else 0 end) as w_minus from r group by 1) select subject, n, round(w_plus, 6) as w_plus, round(w_minus, 6) as w_minus, round(least(w_plus, w_minus), 6) as statistic from g"),
     "spearman_by_subject": q(SCORED, f", t as (select subject, round(margin, 9) as u, round(margin2, 9) as v from ok), r as (select subject, {MID.format(k='subject', v='u')} as ru, {MID.format(k='subject', v='v')} as rv from t) select subject, count(*) as n, round(corr(ru, rv), 6) as spearman from r group by 1"),
@@ -120,22 +119,14 @@ m as (select rep, subject, y as yp, row_number() over (partition by rep, subject
     "permuted_features": q(BROKEN, ", f as (select window_id, avg(v) as f_mean, stddev_pop(v) as f_sd from (select window_id, unnest(x) as v from sig) group by 1) select s.subject, s.window_id, s.y, p.donor, round(f.f_mean, 6) as f_mean, round(f.f_sd, 6) as f_sd from sig s join pairs p using (window_id) join f on f.window_id = p.donor"),
     "adjective_vote_i": q(VOTES.format(sign=1), "select window_id, y, vote, cast(vote > 0 as int) as yhat from voted"),
     "adjective_vote_iii": q(VOTES.format(sign=-1), "select window_id, y, vote, cast(vote > 0 as int) as yhat from voted"),
-    "vote_vs_model": q(VOTES.format(sign=1), f", t as (select *, ({bits(chr(39) + 'model' + chr(39), 'window_id')} % 1000) / 1000.0::double as model from voted), r as (select *, {MID.format(k='subject', v='vote')} as ra, {MID.format(k='subject', v='model')} as rb from t) select subject, count(*) as n, round(avg(cast((vote > 0) = (model > 0.5) as int)), 6) as agreement, round(corr(ra, rb), 6) as spearman from r group by 1"),
     "argmax_label": q(SCORED, "select window_id, case when cast(window_id as bigint) % 11 <> 0 then cast(b > a as int) else -1 end as yhat from scored"),
     "condition_summary": q(SCORED, f", c as (select subject, count(*) filter (not failure) as n_scored, count(*) filter (failure) as n_failures, {counts()} from scored group by 1) select subject, n_scored, n_failures, round({f1()}, 6) as macro_f1 from c"),
-    "pick_winner": q(SWEEP, "select dataset, template_id, n_shot, round(macro_f1, 6) as macro_f1 from (select *, row_number() over (partition by dataset order by coalesce(macro_f1, -1) desc, n_shot, case template_id when 'instruction' then 1 when 'clinical' then 2 else 3 end) as r from sweep) where r = 1"),
-    "lock_invariants": q(SWEEP, "select 'duplicate' as problem, dataset as detail from sweep group by dataset having count(*) > 1 union all select 'no score', dataset from sweep where macro_f1 is null union all select 'count', cast(count(*) as varchar) from sweep having count(*) <> 3"),
     "first_number_mae": q(ANCHOR, "select label, count(*) as n, count(pred) as parsed, count(*) - count(pred) as failures, round(avg(abs(pred - label)), 6) as mae from preds group by label"),
-    "label_distribution": q(ANCHOR, "select label, count(*) as n, round(avg(abs(3 - label)), 6) as constant_mae from anchor group by label"),
+    "label_distribution": q(ANCHOR, "select try_cast(nullif(regexp_extract(body, 'is (\\d+)', 1), '') as int) as label, count(*) as n, round(avg(abs(3 - try_cast(nullif(regexp_extract(body, 'is (\\d+)', 1), '') as int))), 6) as constant_mae from anchor group by 1"),
     "bracket_list_mean": q(SAMPLES, "select recording, count(*) as n, round(avg(round(v, 2)), 4) as mean from samples group by 1"),
     "seed_aggregate": q(ANCHOR, ", p as (select doc_id % 3 as seed, avg(abs(pred - label)) as mae from preds group by 1) select count(*) as seeds, round(avg(mae), 6) as mean, round(coalesce(stddev_samp(mae), 0), 6) as sd from p"),
     "verbalize_logic": q(MATRIX, "select window_id, case when f_mean is null then 'unavailable' when f_mean > median_f_mean then 'elevated' else 'reduced' end as state_f_mean, case when f_sd is null then 'unavailable' when f_sd > median_f_sd then 'elevated' else 'reduced' end as state_f_sd from m15 join med on subject = test_subject"),
     "prompt_render": q(SIG, "select window_id, 'Classify this physiological recording.' || chr(10) || 'A = calm. B = stress. Answer with a single token, A or B.' || chr(10) || 'Examples:' || chr(10) || 'first' || chr(10) || 'Answer: A' || chr(10) || 'second' || chr(10) || 'Answer: B' || chr(10) || chr(10) || 'subject ' || subject || ' part ' || seg_name || chr(10) || 'Answer:' as prompt from sig"),
-    "zero_shot_prompts": q(ANCHOR, f"select doc_id, 'Read the text.' || chr(10) || substr(body, 1, 40) || 'For example, the answer should be in the following format:' || chr(10) || 'Answer: ' || cast({bits('1337', 'doc_id')} % 6 as varchar) as prompt from anchor"),
-    "card_primary": q(CELLS, f"select setup, rung, round(macro_f1, 6) as macro_f1, round(macro_f1_surr, 6) as macro_f1_surr, round(macro_f1 - macro_f1_surr, 6) as delta, round(case when is_null then {GATED} end, 6) as sds, case when macro_f1_surr is null then 'missing surrogate cell' when not is_null then 'descriptive' when ci_lo > chance then 'ratio' else 'undefined (validity gate)' end as status from cells left join rungs using (setup)"),
-    "card_secondary": q(CELLS, "select setup, rung, round(cells.ba, 6) as ba, round(ba_surr, 6) as ba_surr, round(case when cells.ba > 0.5 then (cells.ba - ba_surr) / (cells.ba - 0.5) end, 6) as sds_ba from cells join rungs using (setup)"),
-    "card_heatmap_pivot": q(CELLS, f", v as (select setup, rung, {GATED} as sds from cells left join rungs using (setup)) select setup, round(max(sds) filter (rung = 'gaussian'), 6) as gaussian, round(max(sds) filter (rung = 'iaaft'), 6) as iaaft from v group by 1"),
-    "determinism_flags": q(CELLS, "select setup, round(abs(f - macro_f1), 6) as move, abs(f - macro_f1) > 0.02 as flag from cells join surr using (setup)"),
-    "classical_delta": q(CELLS, "select setup, round(macro_f1 - f, 6) as delta, round(macro_f1 - chance, 6) as over_chance from cells join surr using (setup)"),
-    "content_hash": f"select count(*) as n, cast(sum({bits('n_nationkey || ' + chr(39) + '|' + chr(39) + ' || n_name || ' + chr(39) + '|' + chr(39) + ' || n_regionkey')}) as bigint) as hash from nation",
+    "zero_shot_prompts": q(ANCHOR, f"select doc_id, sha256('Read the text.' || chr(10) || body || 'For example, the answer should be in the following format:' || chr(10) || 'Answer: ' || cast({bits('1337', 'doc_id')} % 6 as varchar)) as prompt_sha256 from anchor"),
+    "content_hash": f"select count(*) as n, cast(sum({bits("concat_ws('|', doc_id, text, lang, source, n_chars)")}) as bigint) as hash from documents",
 }

@@ -9,8 +9,7 @@ from ..functions import anchor_text, arrays, dsp, metrics, png, rng, text
 from ..operators import folds, models, report, scoring, surrogates, windowing
 from ..sources import adapters as src
 
-SEED, REPS, FLOOR_REPS = 1337, 1000, 200
-CHANCE = 0.41
+SEED, REPS = 1337, 1000
 VOTE_FEATURES = {"f_mean": "eda_level_mean", "f_sd": "hrv_sdnn", "f_median": "eda_tonic_mean", "f_step": "hrv_rmssd", "f_max": "hrv_lf"}
 FEATURES = list(src.FEATURES)
 
@@ -24,8 +23,7 @@ def exploded(df: DataFrame, x) -> DataFrame:
 
 
 def matrix(s, d) -> DataFrame:
-    """The feature matrix with fifteen subjects."""
-    return src.feature_matrix(s, d).withColumn("subject", F.concat(F.lit("U"), (F.col("subject").cast("bigint") % 15).cast("string")))
+    return src.feature_matrix(s, d)
 
 
 # segments and windows
@@ -206,7 +204,7 @@ def bootstrap_ci_macro_f1(s, d):
 
 def auroc_ci(s, d):
     rows = metrics.usable(src.scored(s, d)).withColumn("m", F.round(metrics.margin(), 9))
-    return metrics.interval(metrics.auroc_bootstrap(rows, "m", 300, SEED), F.col("auroc")).select(r6("ci_lo", "ci_lo"), r6("ci_hi", "ci_hi"), "reps")
+    return metrics.interval(metrics.auroc_bootstrap(rows, "m", REPS, SEED), F.col("auroc")).select(r6("ci_lo", "ci_lo"), r6("ci_hi", "ci_hi"), "reps")
 
 
 def paired_delta_ci(s, d):
@@ -228,34 +226,8 @@ def flip_rates(s, d):
 
 
 def matched_floor(s, d):
-    p = metrics.permuted_within(metrics.usable(src.scored(s, d)).select("subject", "window_id", "y", "yhat"), FLOOR_REPS, SEED)
-    f = p.groupBy("rep").agg(*metrics.confusion("yp", "yhat")).select(metrics.macro_f1().alias("f"))
-    return f.agg(r6(F.avg("f"), "floor_mean"), r6(F.expr("percentile(f, 0.95)"), "floor_p95"))
-
-
-def _cells(s, d, surrogate=False):
-    """A cell a source bucket: macro F1, and a bound from its standard error."""
-    rows = src.scored(s, d, surrogate).withColumn("setup", F.concat(F.lit("m"), F.regexp_extract("subject", r"(\d+)$", 1).cast("int") % 6))
-    c = metrics.usable(rows).groupBy("setup").agg(F.count("*").alias("n"), *metrics.confusion())
-    return c.select("setup", "n", metrics.macro_f1().alias("macro_f1"), metrics.balanced_accuracy().alias("ba")).withColumn("ci_lo", F.col("macro_f1") - 0.2 / F.sqrt("n")).withColumn("chance", F.lit(CHANCE))
-
-
-def _rungs(s, d):
-    b = _cells(s, d, True).select("setup", F.col("macro_f1").alias("f"), "ba")
-    one = lambda rung, shift, null: b.select("setup", F.lit(rung).alias("rung"), (F.col("f") - shift).alias("macro_f1_surr"), (F.col("ba") - shift).alias("ba_surr"), F.lit(null).alias("is_null"))
-    return one("gaussian", 0.0, True).unionByName(one("iaaft", 0.01, True).where("setup <> 'm3'")).unionByName(one("subject_perm_preserved", -0.02, False))
-
-
-def sds_gated(s, d):
-    j = _cells(s, d).join(_rungs(s, d), "setup")
-    return j.select("setup", "rung", r6(metrics.gated_sds(F.col("macro_f1"), F.col("macro_f1_surr"), F.col("chance"), F.col("ci_lo")), "sds"))
-
-
-def neutralization(s, d):
-    j = _cells(s, d).join(_cells(s, d, True).select("setup", F.col("macro_f1").alias("f2")), "setup")
-    i, ii = F.col("macro_f1") - F.col("chance"), F.col("f2") - F.col("chance")
-    loss = F.when((F.col("ci_lo") > F.col("chance")) & (i != 0), (i - ii) / i)
-    return j.select("setup", r6(i, "margin_i"), r6(ii, "margin_ii"), r6(loss, "loss"), F.coalesce(loss > 0.5, F.lit(False)).alias("p2"))
+    counts = metrics.usable(src.scored(s, d)).groupBy("subject").agg(*metrics.confusion()).withColumn("g", F.lit(0))
+    return metrics.matched_floor(counts, ["g"], REPS, SEED).select(r6("floor_mean", "floor_mean"), r6("floor_p95", "floor_p95"))
 
 
 def _p_values(s, d):
@@ -327,7 +299,11 @@ def loso_logreg(s, d):
 
 
 def permutation_floor(s, d):
-    return models.permutation_floor(_sig_features(src.sig_windows(s, d)), SIG_FEATURES, 2, SEED, steps=3)
+    return models.permutation_scores(_sig_features(src.sig_windows(s, d)), SIG_FEATURES, REPS, SEED).select("model", "rep", r6("macro_f1", "macro_f1"))
+
+
+def classical_floor(s, d):
+    return models.floor_report(_sig_features(src.sig_windows(s, d)), SIG_FEATURES, REPS, SEED).select("part", "model", "statistic", "subject", r6("value", "value"))
 
 
 #: Rungs of the surrogate ladder, and whether they are null: the last keeps the labels' signal.
@@ -375,12 +351,6 @@ def adjective_vote_iii(s, d):
     return _votes(s, d, True).select("window_id", "y", "vote", "yhat")
 
 
-def vote_vs_model(s, d):
-    v = _votes(s, d, False).withColumn("model", (rng.bits("model", F.col("window_id")) % 1000) / 1000.0)
-    both = v.groupBy("subject").agg(F.count("*").alias("n"), r6(F.avg((F.col("yhat") == (F.col("model") > 0.5).cast("int")).cast("double")), "agreement"))
-    return both.join(metrics.spearman(v, "vote", "model", ["subject"]).select("subject", r6("spearman", "spearman")), "subject")
-
-
 # scoring
 
 
@@ -394,24 +364,6 @@ def condition_summary(s, d):
     return c.select("subject", "n_scored", "n_failures", r6("macro_f1", "macro_f1"))
 
 
-TEMPLATES = list(text.TEMPLATES)
-
-
-def _sweep(s, d):
-    rows = src.scored(s, d)
-    k = rng.bits("cell", F.col("window_id")) % 6
-    cell = rows.withColumn("template_id", F.element_at(F.array(*map(F.lit, TEMPLATES)), (k % 3 + 1).cast("int"))).withColumn("n_shot", F.when(k < 3, 0).otherwise(4)).withColumn("dataset", F.concat(F.lit("d"), F.regexp_extract("subject", r"(\d+)$", 1).cast("int") % 3))
-    return scoring.summarise(cell, ["dataset", "template_id", "n_shot"])
-
-
-def pick_winner(s, d):
-    return scoring.pick_winner(_sweep(s, d), ["dataset"], TEMPLATES).select("dataset", "template_id", "n_shot", r6("macro_f1", "macro_f1"))
-
-
-def lock_invariants(s, d):
-    return scoring.lock_problems(_sweep(s, d), ["dataset"], 3)
-
-
 def prompt_scoring(s, d):
     w = src.sig_windows(s, d).withColumn("prompt", text.prompt(text.series_text(arrays.bin_mean(F.col("x"), 8), F.lit("ecg"), F.lit(4.0), F.lit("bin_mean")), "minimal"))
     return scoring.score_prompts(w, scoring.constant_scorer()).select("window_id", "prompt", "yhat", "failure")
@@ -421,14 +373,14 @@ def prompt_scoring(s, d):
 
 
 def first_number_mae(s, d):
-    a = _anchor(s, d).withColumn("pred", text.first_number(F.col("body"), 6))
+    a = _anchor(s, d).withColumn("pred", text.first_number(F.col("body")))
     return scoring.text_scores(a.withColumn("all", F.lit("all")), "pred", "label", ["label"]).select("label", "n", "parsed", "failures", r6("mae", "mae"))
 
 
 def label_distribution(s, d):
+    """Labels that texts state as 'is N', those of texts without one as null, and the error of always saying 3."""
     a = _anchor(s, d)
-    sentence = F.concat(F.lit("The level is "), F.col("label").cast("string"), F.lit("."))
-    return a.groupBy(text.label_of(sentence).alias("label")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.lit(3) - F.col("label"))), "constant_mae"))
+    return a.groupBy(text.label_of(F.col("body"), strict=False).alias("label")).agg(F.count("*").alias("n")).withColumn("constant_mae", F.abs(F.lit(3.0) - F.col("label")))
 
 
 def bracket_list_mean(s, d):
@@ -439,7 +391,7 @@ def bracket_list_mean(s, d):
 
 
 def seed_aggregate(s, d):
-    a = _anchor(s, d).withColumn("pred", text.first_number(F.col("body"), 6)).withColumn("seed", F.col("doc_id") % 3)
+    a = _anchor(s, d).withColumn("pred", text.first_number(F.col("body"))).withColumn("seed", F.col("doc_id") % 3)
     per = scoring.text_scores(a, "pred", "label", ["seed"])
     return per.agg(F.count("*").alias("seeds"), r6(F.avg("mae"), "mean"), r6(F.coalesce(F.stddev_samp("mae"), F.lit(0.0)), "sd"))
 
@@ -466,44 +418,17 @@ def prompt_render(s, d):
 
 def zero_shot_prompts(s, d):
     a = _anchor(s, d)
-    return a.select("doc_id", anchor_text.zero_shot(F.lit("Read the text.\n"), F.substring("body", 1, 40), anchor_text.example_number(SEED, F.col("doc_id"))).alias("prompt"))
+    return a.select("doc_id", anchor_text.zero_shot(F.lit("Read the text.\n"), F.col("body"), anchor_text.example_number(SEED, F.col("doc_id"))).cast("binary").alias("prompt")).select("doc_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def plot_digests(s, d):
     return src.sig_windows(s, d).select("window_id", F.sha2(png.plot("x"), 256).alias("png_sha256"))
 
 
-# report
-
-
-def card_primary(s, d):
-    p = report.primary(_cells(s, d), _rungs(s, d))
-    return p.select("setup", "rung", *(r6(c, c) for c in ("macro_f1", "macro_f1_surr", "delta", "sds")), "status")
-
-
-def card_secondary(s, d):
-    j = _cells(s, d).join(_rungs(s, d), "setup")
-    return j.select("setup", "rung", r6("ba", "ba"), r6("ba_surr", "ba_surr"), r6(F.when(F.col("ba") > 0.5, (F.col("ba") - F.col("ba_surr")) / (F.col("ba") - 0.5)), "sds_ba"))
-
-
-def card_heatmap_pivot(s, d):
-    h = report.heatmap(report.primary(_cells(s, d), _rungs(s, d)), ["gaussian", "iaaft"])
-    return h.select("setup", r6("gaussian", "gaussian"), r6("iaaft", "iaaft"))
-
-
-def determinism_flags(s, d):
-    f = report.determinism(_cells(s, d), _cells(s, d, True))
-    return f.select("setup", r6("move", "move"), "flag")
-
-
-def classical_delta(s, d):
-    c = _cells(s, d).join(_rungs(s, d).where("rung = 'gaussian'"), "setup")
-    return c.select("setup", r6(F.col("macro_f1") - F.col("macro_f1_surr"), "delta"), r6(F.col("macro_f1") - F.col("chance"), "over_chance"))
-
-
 def content_hash(s, d):
-    t = src.table(s, d, "nation")
-    return t.agg(F.count("*").alias("n"), F.sum(rng.bits(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"))).alias("hash"))
+    """Of all rows and columns of documents, whatever their order; null texts are passed over."""
+    t = src.table(s, d, "documents")
+    return t.agg(F.count("*").alias("n"), F.sum(rng.bits(F.concat_ws("|", *(F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source", "n_chars"))))).alias("hash"))
 
 
 _SKIP = {"r6", "exploded", "matrix"}

@@ -5,8 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sigaudit.plans.oracle import SQL
-from sigaudit.plans.queries import QUERIES
+from sigaudit.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
