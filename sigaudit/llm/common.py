@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scratch
+
 #: Rows and bytes of one Arrow batch sent to a Python worker: bounds a worker's memory when some texts are very long.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that the vectorised kernels handle at a time.
@@ -27,30 +27,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one is set only where none is named (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def save(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and its path. Shuffle files of finished jobs go only when the driver's
+    JVM collects its garbage, which an idle driver may put off for half an hour while the executors' disks fill: so that is asked for."""
+    out = scratch.save(df)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
-def save(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of finished jobs are deleted when the driver's JVM collects its garbage: do that now, as they may be large
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that no later step reads."""
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+drop = scratch.drop
 
 
 def held_out(doc_id="doc_id"):

@@ -2,8 +2,9 @@
 
 Per language and source the minimum-covariance-determinant estimate of location and scatter of transformed statistics is found by
 concentration steps: the rows nearest by Mahalanobis distance under the current estimate give the next one. They run from several
-starts, and the estimate of least determinant stands. A row far from the estimate of its group is rejected. Group moments and distance
-histograms are mergeable sums, so no group is ever gathered.
+starts until nothing moves, and the estimate of least determinant stands. Estimates of a source are drawn towards that of its
+language as if PRIOR rows spoke for it, whatever the size of either. A row far from the estimate of its group is rejected. Moments and
+distance histograms are mergeable sums, so no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import drop, save, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Share of a group that the estimate rests on; concentration steps; least rows of a group for an estimate of its own.
-CORE, STEPS, LEAST = 0.5, 5, 50
+#: Share of a group that the estimate rests on; concentration steps from all starts, steps at most, and the move of the log determinant
+#: that ends them; rows that the language's estimate counts for in a source's.
+CORE, TRIED, STEPS, STILL, PRIOR = 0.5, 2, 6, 1e-2, 20
 #: Starts of a group: all its rows, and samples of about so many rows drawn by hash.
 STARTS, SAMPLE = 6, 10
 #: Share of normal rows within the cut. Clean texts are not normal (labelled good ones have up to a third of their lines twice), so it
@@ -93,11 +95,18 @@ def _transformed() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
-    """Mean, Cholesky factor of the scatter (factor times the covariance, and FLOOR) and log determinant of each group's rows."""
-    pairs = list(combinations_with_replacement(DIMENSIONS, 2))
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMENSIONS), *(F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in pairs))
-    scatter = {(a, b): factor * F.col(f"c_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0) for a, b in pairs}
+PAIRS = list(combinations_with_replacement(DIMENSIONS, 2))
+
+
+def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0, prior: DataFrame | None = None) -> DataFrame:
+    """Mean, covariance (factor times that of the rows), Cholesky factor of the scatter (covariance and FLOOR) and log determinant of each
+    group's rows. prior: means and covariances a wide group (its rows name it), which count for PRIOR rows of each."""
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMENSIONS), *((factor * F.covar_pop(a, b)).alias(f"c_{a}{b}") for a, b in PAIRS))
+    if prior is not None:
+        names = [*(f"m_{d}" for d in DIMENSIONS), *(f"c_{a}{b}" for a, b in PAIRS)]
+        both = sums.join(prior.select(F.col("group").alias("wide"), *(F.col(c).alias(f"p_{c}") for c in names)), "wide")
+        sums = both.select(*keys, *(((F.col("n") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in names))
+    scatter = {(a, b): F.col(f"c_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0) for a, b in PAIRS}
     # the Cholesky factor column by column, so that no expression is repeated
     out = sums
     done: dict[tuple[int, int], Column] = {}
@@ -109,7 +118,7 @@ def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / done[j, j])
             done[i, j] = F.col(f"l{i}{j}")
     det = sum((2 * F.log(f"l{i}{i}") for i in range(len(DIMENSIONS))), F.lit(0.0))
-    return out.select(*keys, det.alias("det"), *(f"m_{d}" for d in DIMENSIONS), *(f"l{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)))
+    return out.select(*keys, det.alias("det"), *(f"m_{d}" for d in DIMENSIONS), *(f"c_{a}{b}" for a, b in PAIRS), *(f"l{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -133,46 +142,49 @@ def _starts(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
     places = F.greatest(F.floor(F.col("size") / SAMPLE), F.lit(1))
     sized = rows.join(_spread(sizes), ["group", "salt"]).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
-    return sized.where((F.col("start") == 0) | (F.pmod(F.xxhash64("draw", "start"), places) == 0)).select("group", "start", *DIMENSIONS)
-
-
-def robust_estimate(rows: DataFrame) -> DataFrame:
-    """Per group of rows (group, salt, draw, x0..) the mean and Cholesky factor of its concentrated core: from each start, STEPS times on
-    to the nearest CORE share of all rows of the group; of the starts the one of least determinant."""
-    estimate, at = save(_moments(_starts(rows), ["group", "start"]))
-    for _ in range(STEPS):
-        near = _distance(rows.join(_spread(estimate), ["group", "salt"])).withColumn("bin", F.floor(F.log1p("d") * BINS))
+    return sized.where((F.col("start") == 0) | (F.pmod(F.xxhash64("draw", "start"), places) == 0)).select("group", "wide", "start", *DIMENSIONS)
+
+
+def robust_estimate(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Per group of rows (group, wide, salt, draw, x0..) mean, covariance and Cholesky factor of its concentrated core: from each start
+    TRIED steps on to the nearest CORE share of all rows of the group, and from that of least determinant until none moves."""
+    spark, keys = rows.sparkSession, ["group", "wide", "start"]
+    estimate, at = save(_moments(_starts(rows), keys, 1.0, prior))
+    for step in range(STEPS):
+        if step == TRIED:
+            least = F.row_number().over(Window.partitionBy("group").orderBy("det", "start"))
+            estimate = estimate.withColumn("place", least).where("place = 1").drop("place")
+        near = _distance(rows.join(_spread(estimate.drop("wide")), ["group", "salt"])).withColumn("bin", F.floor(F.log1p("d") * BINS))
         bins = near.groupBy("group", "start", "bin").count()
         upto = Window.partitionBy("group", "start").orderBy("bin")
         share = bins.withColumn("upto", F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("count").over(Window.partitionBy("group", "start")))
         border = share.where(F.col("upto") >= CORE * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("border"))
-        core = near.join(_spread(border), ["group", "start", "salt"]).where("bin <= border").select("group", "start", *DIMENSIONS)
-        following, path = save(_moments(core, ["group", "start"], CONSISTENCY))
-        drop(rows.sparkSession, at)
+        core = near.join(_spread(border), ["group", "start", "salt"]).where("bin <= border").select(*keys, *DIMENSIONS)
+        following, path = save(_moments(core, keys, CONSISTENCY, prior))
+        moved = following.join(estimate.select("group", "start", F.col("det").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
+        drop(spark, at)
         estimate, at = following, path
-    least = F.row_number().over(Window.partitionBy("group").orderBy("det", "start"))
-    return estimate.withColumn("place", least).where("place = 1").drop("place", "start", "det")
+        if step > TRIED and (moved or 0.0) < STILL:
+            break
+    return estimate.drop("start", "wide", "det")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row doc_id, the statistics, base_failed, distance and kept.
 
-    Null and empty texts have no words and fail the base rules. A null lang or source is a value of its own. Groups of fewer than
-    LEAST passing rows are judged with all groups of their language that are as small, or by nothing if those are still too few.
-    Repeated rows count each. An empty table gives no rows. Other columns, whatever their names, are not read.
+    Null and empty texts have no words and fail the base rules. A null lang or source is a value of its own. A source of few rows is
+    judged by its language's estimate more than by its own, and a lone row of a language by itself: it is kept. Repeated rows count
+    each. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
+    spark = docs.sparkSession
     given = docs.select("doc_id", "text", "lang", "source")
-    stats, _ = save(with_stats(given).withColumn("own", F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))))
-    passing = stats.where(~F.col("base_failed"))
-    sizes = passing.groupBy("own", "lang").count()
-    small = F.concat(F.lit("\x1e"), F.coalesce("lang", F.lit("\x00")))
-    named = sizes.withColumn("group", F.when(F.col("count") >= LEAST, F.col("own")).otherwise(small))
-    large = named.groupBy("group").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST).select("group")
-    groups, _ = save(named.join(large, "group", "left_semi").select("own", "group"))
-    salted = stats.withColumn("draw", F.xxhash64("doc_id", "n_words", "word_chars")).withColumn("salt", F.pmod("draw", F.lit(SALTS)))
-    rows = salted.join(_spread(groups), ["own", "salt"], "left").select("*", *_transformed())
-    core = rows.where(~F.col("base_failed") & F.col("group").isNotNull()).select("group", "salt", "draw", *DIMENSIONS)
-    out = _distance(rows.join(_spread(robust_estimate(core)), ["group", "salt"], "left"))
+    wide = F.coalesce("lang", F.lit("\x00"))
+    named = with_stats(given).withColumn("wide", wide).withColumn("group", F.concat_ws("\x1f", wide, F.coalesce("source", F.lit("\x00"))))
+    stats, _ = save(named.withColumn("draw", F.xxhash64("doc_id", "n_words", "word_chars")).withColumn("salt", F.pmod("draw", F.lit(SALTS))))
+    rows = stats.select("*", *_transformed())
+    core = rows.where(~F.col("base_failed")).select("group", "wide", "salt", "draw", *DIMENSIONS)
+    languages = robust_estimate(core.withColumn("group", F.col("wide")))
+    out = _distance(rows.join(_spread(robust_estimate(core, languages)), ["group", "salt"], "left"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d"), F.lit(0.0)) <= FAR)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d").alias("distance"))
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,6 +210,54 @@ def test_planted_outliers_go_even_from_a_group_of_one_third_junk(docs_of):
     assert all(got[i] for i, _ in clean) and len(got) == 300 and not any(got[2000 + i] for i in range(100))
 
 
+def concentrated(x, starts, floor, factor, prior=None):
+    """Numpy's own: from every start the nearest half, again and again; the core of least determinant."""
+    best = None
+    for first in starts:
+        rows = x[first]
+        for step in range(13):
+            m, c, n = rows.mean(axis=0), np.cov(rows.T, bias=True) * (factor if step else 1.0), len(rows)
+            if prior is not None:
+                m, c = (n * m + quality_rules.PRIOR * prior[0]) / (n + quality_rules.PRIOR), (n * c + quality_rules.PRIOR * prior[1]) / (n + quality_rules.PRIOR)
+            s = c + np.diag(floor**2)
+            d = np.sqrt(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m))
+            rows = x[d <= np.sort(d)[-(-len(x) // 2) - 1]]
+        if best is None or np.linalg.det(s) < best[0]:
+            best = (np.linalg.det(s), m, c, d)
+    return best
+
+
+def test_verdict_is_a_numpy_estimate(spark, docs_of):
+    """Small groups of two sources, one with outliers: distances and verdicts of the whole operator against plain arrays."""
+    rng = np.random.default_rng(4)
+    junk = lambda i: " ".join(w + " #" * int(rng.integers(1, 3)) for w in plain_text(i, 60).split())
+    texts = [(i, plain_text(i, 60 + int(rng.integers(0, 60))), "a" if i % 3 else "b") for i in range(90)] + [(500 + i, junk(i), "a") for i in range(12)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect() if not r["base_failed"]}
+    ids = [i for i, _, _ in texts if i in got]
+    stat = lambda r: (r["word_chars"] / r["n_words"], (r["n_symbols"] / r["n_words"]) ** 0.5, (r["n_dup_lines"] / max(1, text_lines[r["doc_id"]])) ** 0.5, (r["n_repeat_words"] / r["n_words"]) ** 0.5)
+    text_lines = {i: sum(bool(WORD.search(x)) for x in t.split("\n")) for i, t, _ in texts}
+    x = np.array([stat(got[i]) for i in ids])
+    floor = np.array(list(quality_rules.FLOOR.values()))
+    source = np.array([dict((i, s) for i, _, s in texts)[i] for i in ids])
+    sets = lambda n: [np.arange(n)] + [rng.choice(n, min(n, 10), replace=False) for _ in range(40)]
+    wide = concentrated(x, sets(len(x)), floor, quality_rules.CONSISTENCY)
+    for s in "ab":
+        at = np.flatnonzero(source == s)
+        own = concentrated(x[at], sets(len(at)), floor, quality_rules.CONSISTENCY, wide[1:3])
+        mine = np.array([got[ids[k]]["distance"] for k in at])
+        clear = np.abs(own[3] - quality_rules.FAR) > 1
+        assert clear.mean() > 0.9 and ((own[3] <= quality_rules.FAR) == [got[ids[k]]["kept"] for k in at])[clear].all()
+        assert np.median(np.abs(mine - own[3])) < 0.25
+    assert not any(got[500 + i]["kept"] for i in range(12) if 500 + i in got)
+
+
+def test_null_groups_and_lone_rows(spark):
+    rows = [(1, plain_text(1), None, None), (2, plain_text(2), "xx", None), (None, plain_text(3), None, "s"), (4, None, "en", "s")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in got) == [(0, True), (1, True), (2, True), (4, False)]
+
+
 def test_cut_is_a_chi_square_quantile():
     assert abs(quality_rules.chi_square_quantile(0.5, 4) - 3.35669) < 1e-4 and abs(quality_rules.chi_square_quantile(0.9999, 4) - 23.51274) < 1e-3 and quality_rules.FAR < 6
     assert abs(quality_rules.CONSISTENCY - 2.11) < 0.02
