@@ -14,7 +14,7 @@ from .common import save, table
 from .quality_rules import SPACE, bind
 
 #: Words of a shingle; the share of hashes kept is 1 in 2 to the power SCALE; bits of a kept hash.
-WORDS, SCALE, BITS = 5, 2, 31
+WORDS, SCALE, BITS = 5, 2, 32
 
 
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
@@ -48,43 +48,64 @@ def union_sketch(a: Column, b: Column, scale: int = SCALE) -> Column:
     return bind(F.array_union(a, b), lambda u: F.when(F.size(below(u)) > 0, F.sort_array(below(u))).when(F.size(u) > 0, F.array(F.array_min(u))).otherwise(u))
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """To distinct doc_id the next larger one as next_id, and to the largest the smallest; other columns stay. Ids are sorted by ranges;
-    only the first id of each range is looked at across ranges."""
-    ranged, _ = save(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
-    inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
-    heads = ranged.groupBy("range").agg(F.min("doc_id").alias("head"))
+#: What tells documents apart and orders them: doc_id (null: after all others) and, of one doc_id, the text's hash.
+KEY = ["last", "id", "h"]
+
+
+def following(keys: DataFrame) -> DataFrame:
+    """To distinct rows of KEY the columns next_last, next_id and next_h of the next larger one, and to the largest those of the
+    smallest; other columns stay. Keys are sorted by ranges; only the first key of each range is looked at across ranges."""
+    ranged, _ = save(keys.repartitionByRange(*KEY).withColumn("range", F.spark_partition_id()))
+    key = F.struct(*KEY)
+    inside = F.lead(key).over(Window.partitionBy("range").orderBy(*KEY))
+    heads = ranged.groupBy("range").agg(F.min(key).alias("head"))
     order = Window.orderBy("range")
     heads = heads.select("range", F.coalesce(F.lead("head").over(order), F.min("head").over(Window.partitionBy())).alias("head"))
-    return ranged.withColumn("next_id", inside).join(heads, "range").withColumn("next_id", F.coalesce("next_id", "head")).drop("head", "range")
+    found = ranged.withColumn("next", inside).join(heads, "range").withColumn("next", F.coalesce("next", "head"))
+    return found.select("*", *(F.col(f"next.{c}").alias(f"next_{c}") for c in KEY)).drop("head", "range", "next")
+
+
+def _sent(kept: Column) -> Column:
+    """A sketch in four bytes a hash, for shuffles."""
+    return F.transform(kept, lambda x: (x - (1 << (BITS - 1))).cast("int"))
+
+
+def _received(sent: Column) -> Column:
+    return F.transform(sent, lambda x: x.cast("bigint") + (1 << (BITS - 1)))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, each of the whole text.
 
-    The edited text has its last floor(n_chars / 2) code points replaced by as many first ones (or all) of the next document by
-    doc_id. Null and empty texts have an empty fingerprint. Rows of one doc_id are one document with their smallest text, returned once
-    a row. Rows of null doc_id have no place in the order and are left out. A single document is its own next. An empty table gives no
-    rows. Other columns, whatever their names, are not read.
+    Every row is a document. The next one is that of the next doc_id; among rows of one doc_id the order is that of a hash of the text,
+    rows of null doc_id come last, and after the last document the first comes. The edited text has its last floor(n_chars / 2) code
+    points replaced by as many first ones (or all) of the next document. So a row that is repeated is its own next but for its last
+    copy, and so is a single document. Null and empty texts have an empty fingerprint. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
     """
-    given = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    one = given.groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
-    order = following(given.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most")))
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select(F.col("doc_id").isNull().cast("int").alias("last"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    one = given.groupBy(*KEY).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    order = following(given.groupBy(*KEY).agg(F.max(F.char_length("text")).alias("most")))
     # only the part of the next text that can be wanted travels to the document before it; the filter keeps both uses of `one` alike, so
-    # that texts are shuffled by doc_id once
-    before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("wanted_by"), F.floor(F.col("most") / 2).cast("int").alias("half"))
-    after = one.where("copies > 0").join(before, "doc_id").select("wanted_by", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), sketch(F.col("text")).cast("array<int>").alias("after"))
-    pair = one.join(after, F.col("doc_id") == F.col("wanted_by"))
+    # that texts are shuffled by key once
+    before = order.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"by_{c}") for c in KEY), F.floor(F.col("most") / 2).cast("int").alias("half"))
+    after = one.where("copies > 0").join(before, KEY).select(*(F.col(f"by_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), _sent(sketch(F.col("text"))).alias("after"))
+    pair = one.join(after, KEY)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half))
-    both = pair.select("doc_id", "copies", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "after")
-    kept = both.select("doc_id", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), F.col("after").cast("array<bigint>").alias("after"))
+    # of several copies all but the last are followed by the same text
+    apart = F.struct("head", "after", F.lit(1).cast("bigint").alias("rows"))
+    same = F.struct(F.substring(F.col("text"), F.lit(1), half).alias("head"), _sent(sketch(F.col("text"))).alias("after"), (F.col("copies") - 1).alias("rows"))
+    cases = pair.select("last", "id", "text", F.explode(F.when(F.col("copies") > 1, F.array(apart, same)).otherwise(F.array(apart))).alias("c"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("c.head"), F.lit(1), half))
+    both = cases.select("last", "id", "c.rows", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "c.after")
+    kept = both.select("last", "id", "rows", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), _received(F.col("after")).alias("after"))
     out = kept.select(
-        "doc_id", "copies", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
+        F.when(F.col("last") == 0, F.col("id")).alias("doc_id"), "rows", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("other")).alias("near_edited"), resemblance(F.col("own"), F.col("after")).alias("near_next"),
     )
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    return out.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -109,7 +109,37 @@ def test_edited_texts_and_likeness(spark, docs_of, documents):
             own, other = ({x[j : j + 8] for j in range(0, len(x), 8)} for x in (r["fingerprint"], r["edited_fingerprint"]))
             assert r["near_edited"] == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
     assert fingerprints.fingerprint_documents(docs_of([])).count() == 0
-    assert fingerprints.fingerprint_documents(docs_of([(1, "a b"), (1, "a b"), (None, "x")])).count() == 2
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "longer text of one id"), (None, "x y"), (None, None), (3, "z " * 40), (None, "x y")]
+    got = sorted((r["doc_id"] or 99, r["n_chars"]) for r in fingerprints.fingerprint_documents(docs_of(rows)).collect())
+    assert got == sorted((i or 99, len(t or "")) for i, t in rows)
+
+
+def hashed_sketches(spark, texts):
+    """Plain sets: every shingle's hash by the engine's own hash of five words, those below the threshold or else the least."""
+    from pyspark.sql import functions as F
+
+    out = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in WORD.findall(t)]
+        grams = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        df = spark.createDataFrame([tuple(g) + (None,) * (5 - len(g)) for g in set(grams)], "a string, b string, c string, d string, e string") if grams else None
+        h = {r[0] % (1 << 64) >> (64 - fingerprints.BITS) for r in df.select(F.xxhash64("a", "b", "c", "d", "e")).collect()} if grams else set()
+        low = {x for x in h if x < 1 << (fingerprints.BITS - fingerprints.SCALE)}
+        out[i] = low or ({min(h)} if h else set())
+    return out
+
+
+def test_likeness_to_the_next_document_is_brute_force(spark, docs_of):
+    base = " ".join(f"Word{k}" for k in range(60))
+    rows = [(1, base), (2, base + " and some more words at its end"), (5, "few words"), (7, ""), (9, base.replace("Word30", "x"))]
+    texts = dict(rows)
+    sketches = hashed_sketches(spark, texts)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs_of(rows)).collect()}
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        a, b = sketches[i], sketches[ids[(k + 1) % len(ids)]]
+        assert got[i]["fingerprint"] == "".join(f"{x:08x}" for x in sorted(a))
+        assert got[i]["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
 
 
 def test_sketch_estimates_containment(spark, docs_of):
