@@ -1,7 +1,7 @@
 """Operator 1: quality classifier on supervised subword embeddings.
 
-Words, word pairs and byte 3-grams are hashed to learned vectors; a document is the average of its vectors, and a softmax
-layer on it gives the label. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of
+Words, word pairs and character n-grams (of 3 and of 5 code points) are hashed to learned vectors; a document is the average of its
+vectors, and a softmax layer on it gives the label. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of
 labelled documents, whose features Spark computes. As the layer is linear, each vector is projected through it once before scoring.
 """
 
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bound_batches, held_out, slices, table, utf8
-from .words import hashes, is_space, mix, spans
+from .words import hashes, mix, spans
 
-#: Labelled documents that training uses at most (those of the smallest id hashes), vectors, their length, bytes of an n-gram.
-SAMPLE, BUCKETS, DIMENSIONS, GRAM = 2000, 1 << 14, 8, 3
+#: Labelled documents that training uses at most (those of the smallest id hashes), vectors, their length, code points of an n-gram.
+SAMPLE, BUCKETS, DIMENSIONS, GRAMS = 3000, 1 << 14, 8, (3, 5)
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 500, 32, 200.0, 7
 #: Predicted 1 from this score on.
 CUT = 0.3
@@ -28,6 +28,13 @@ CUT = 0.3
 SAME = 0
 
 
+def code_points(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts, white space as one kind, and where each text's begin (and past the last)."""
+    points = np.frombuffer(b.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begun = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return np.where((points == 32) | ((points >= 9) & (points <= 13)), np.uint64(32), points), begun[at]
+
+
 def features(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of the texts: per kind their slots in text order, and for each text where its first is (and past the last)."""
     b, at = raw[at[0] : at[-1]], at - at[0]
@@ -40,13 +47,14 @@ def features(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
         pair = slot(mix(h[:-1] * np.uint64(3) + h[1:]))
         pair[h[:-1] == h[1:]] = SAME
         out.append((pair, np.stack([first[:-1], np.maximum(first[1:] - 1, first[:-1])])))
-    plain = np.where(is_space(b), np.uint8(32), b).astype(np.uint64)
-    if len(plain) >= GRAM:
-        code = plain[: len(plain) - GRAM + 1].copy()
-        for k in range(1, GRAM):
-            code = (code << np.uint64(8)) | plain[k : k + len(code)]
-        from_ = np.minimum(at[:-1], len(code))
-        out.append((slot(mix(code + np.uint64(GRAM << 56))), np.stack([from_, np.clip(at[1:] - GRAM + 1, from_, len(code))])))
+    points, first = code_points(b, at)
+    for k in GRAMS:
+        if len(points) >= k:
+            code = np.zeros(len(points) - k + 1, np.uint64)
+            for j in range(k):
+                code = code * np.uint64(0x9E3779B97F4A7C15) + points[j : j + len(code)]
+            from_ = np.minimum(first[:-1], len(code))
+            out.append((slot(mix(code + np.uint64(k << 56))), np.stack([from_, np.clip(first[1:] - k + 1, from_, len(code))])))
     return out
 
 
@@ -104,23 +112,28 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
             raw, at = utf8(batch.column(2))
             for lo, hi in slices(at):
                 kinds = features(raw, at[lo : hi + 1])
-                slots, counts = [], []
+                packed = []
                 for i in range(hi - lo):
                     x = np.concatenate([s[a[0, i] : a[1, i]] for s, a in kinds])
-                    s, c = np.unique(x, return_counts=True)
-                    slots.append(s.astype(np.int32))
-                    counts.append((c / max(len(x), 1)).astype(np.float32))
+                    slots, counts = np.unique(x, return_counts=True)
+                    packed.append(slots.astype("<u2").tobytes() + (counts / max(len(x), 1)).astype("<f4").tobytes())
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["doc_id", "label", "slots", "shares"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["doc_id", "label", "packed"])
 
     # the chosen ids are bounded by sample, so they may be broadcast
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text")
-    table = rows.mapInArrow(run, "doc_id bigint, label int, slots array<int>, shares array<float>").toPandas()
-    if not len(table):
+    found = rows.mapInArrow(run, "doc_id bigint, label int, packed binary")
+    # of rows with one id the one of fewest features; six bytes a feature, a partition at a time
+    kept: dict[int, tuple[int, bytes]] = {}
+    for r in found.toLocalIterator():
+        if r["doc_id"] not in kept or (len(r["packed"]), r["packed"]) < (len(kept[r["doc_id"]][1]), kept[r["doc_id"]][1]):
+            kept[r["doc_id"]] = (r["label"], bytes(r["packed"]))
+    if not kept:
         return None
-    table["size"] = table["slots"].map(len)
-    table = table.sort_values(["doc_id", "size"]).drop_duplicates("doc_id")
-    return train(list(zip(table["slots"], table["shares"], strict=True)), table["label"].to_numpy(np.int64))
+    order = sorted(kept)
+    unpacked = [(np.frombuffer(p, "<u2", len(p) // 6), np.frombuffer(p, "<f4", len(p) // 6, len(p) // 6 * 2)) for p in (kept[i][1] for i in order)]
+    return train(unpacked, np.array([kept[i][0] for i in order], np.int64))
+
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

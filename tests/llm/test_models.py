@@ -30,6 +30,33 @@ def test_quality_edges(spark, docs_of, documents):
     assert null_id["held_out"] is False
 
 
+def test_grams_are_of_code_points():
+    texts = ["日本語のテキスト", "ab é\tc", "", "x"]
+    raw = [t.encode() for t in texts]
+    b, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    kinds = quality_classifier.features(b, at)
+    for t, i in zip(texts, range(4)):
+        for k, (_, place) in zip(quality_classifier.GRAMS, kinds[-2:]):
+            assert place[1, i] - place[0, i] == max(0, len(t) - k + 1)
+    same = quality_classifier.features(np.frombuffer("ab é\tc日本語".encode(), np.uint8), np.array([0, 7, 16]))
+    assert (same[-2][0][same[-2][1][0, 0] : same[-2][1][1, 0]] == kinds[-2][0][kinds[-2][1][0, 1] : kinds[-2][1][1, 1]]).all()
+
+
+def test_scores_are_a_plain_forward_pass(docs_of, documents):
+    """Average of vectors, softmax, document by document, against the projected sums of the scorer."""
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality_classifier.fit(documents, labels)
+    rows = [tuple(r) for r in documents.limit(30).select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["quality_score"] for r in quality_classifier.score(docs_of(rows, extra=False), model).collect()}
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        kinds = quality_classifier.features(raw, np.array([0, len(raw)]))
+        slots = np.concatenate([s[a[0, 0] : a[1, 0]] for s, a in kinds])
+        hidden = model.vectors[slots].mean(axis=0) if len(slots) else np.zeros(quality_classifier.DIMENSIONS)
+        logits = hidden @ model.layer + model.bias
+        assert abs(got[i] - np.exp(logits[1]) / np.exp(logits).sum()) < 1e-4
+
+
 def test_training_never_sees_held_out_labels(spark, documents):
     y = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     flipped = y.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -54,6 +81,26 @@ def test_language_edges(spark, docs_of):
     assert language_id.fit(docs_of(EDGES[:3])) is None
 
 
+def test_pooling_is_plain(docs_of):
+    """A document's probabilities are the means over the places of all its pieces."""
+    rng = np.random.default_rng(1)
+    pieces = np.stack([np.frombuffer(bytes(rng.choice(list(a), 64).tolist()), np.uint8) for a in (b"abcd ", b"wxyz ") for _ in range(40)])
+    net = language_id.train(pieces, np.repeat([0, 1], 40), ["first", "second"])
+    texts = ["abcd wxyz " * 40, "ab", "z" * 64, "abca " * 13]
+    raw = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, raw)])
+    many = language_id.document_probabilities(net, np.frombuffer(b"".join(raw), np.uint8), at)
+    for i, x in enumerate(raw):
+        alone = language_id.document_probabilities(net, np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+        assert np.allclose(alone[0], many[i], atol=1e-5) and abs(many[i].sum() - 1) < 1e-4
+
+
+def test_null_id_is_not_held_out(docs_of):
+    net = None
+    got = language_id.identify(docs_of([(None, "abc"), (None, None)]), net).collect()
+    assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(None, "und")] * 2
+
+
 def test_backpropagation_is_the_gradient():
     rng = np.random.default_rng(3)
     given = rng.normal(0, 0.4, (256, 3 * language_id.STATES)).astype(np.float32)
