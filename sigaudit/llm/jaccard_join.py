@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, drop, save, slices, table, utf8
@@ -61,15 +61,21 @@ def prefixes(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, set_key binary, prefix array<int>, bits binary")
 
 
-#: Bits of the filter that keeps most texts of no interest from being shuffled: its size does not depend on the data.
-FILTER = 1 << 23
+#: Bits of the filter that keeps most texts of no interest from being shuffled, for each id and at most (16 MB to broadcast).
+FILTER_EACH, FILTER_MOST = 16, 1 << 27
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) without most rows whose doc_id is not in ids: a Bloom filter of FILTER bits, put together by Spark."""
-    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    """docs (doc_id, text) without most rows whose doc_id is not in ids: a Bloom filter sized by their number, put together by Spark.
+    So many ids that it would let most texts through are left to the join."""
+    n = ids.select(F.approx_count_distinct("doc_id")).first()[0]
+    size = max(1 << 16, 1 << (FILTER_EACH * n).bit_length())
+    if size > 4 * FILTER_MOST:
+        return docs.where("doc_id is not null").select("doc_id", "text")
+    size = min(size, FILTER_MOST)
+    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(size))
     words = ids.select(bit().alias("b")).select((F.col("b") / 64).cast("bigint").alias("word"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
-    filled = np.zeros(FILTER // 64, np.int64)
+    filled = np.zeros(size // 64, np.int64)
     filled[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
@@ -179,12 +185,22 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     return _by_block(rows, ["doc_id", "component", "side", "n", "bits", "tokens"], work, "token int, one int, two int, side int, doc_id bigint, component bigint")
 
 
+#: Rows of a table that may be broadcast after a count, and places in which the rows of a token meet a larger one.
+LISTED, SALTS = 200_000, 32
+
+
 def _blocks(cells: DataFrame, full: bool) -> DataFrame:
     """cells: token, doc_id, n, component. Adds (one, two, side). A cell of weight up to BLOCK is one block. A larger one is dealt
-    out by a hash: in full to all pairs of its blocks, else to its blocks, each with the cell's smallest class."""
-    size = cells.groupBy("token").agg(F.sum(F.col("n") + ROW).alias("weight"), F.min("doc_id").alias("anchor"))
-    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
-    dealt = cells.join(size, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    out by a hash: in full to all pairs of its blocks, else to its blocks, each with the cell's smallest class. Only the list of larger
+    cells meets the rows: broadcast if it is short, else in SALTS places a token, so that a frequent token is no task's."""
+    size = cells.groupBy("token").agg(F.sum(F.col("n") + ROW).alias("weight"), F.min("doc_id").alias("anchor")).where(F.col("weight") > BLOCK)
+    large, _ = save(size.select("token", "anchor", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")))
+    if large.count() <= LISTED:
+        met = cells.join(F.broadcast(large), "token", "left")
+    else:
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        met = cells.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(spread, ["token", "salt"], "left").drop("salt")
+    dealt = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     if full:
         other = F.explode(every)
@@ -194,12 +210,19 @@ def _blocks(cells: DataFrame, full: bool) -> DataFrame:
     return dealt.withColumn("one", to).withColumn("two", F.col("one")).withColumn("side", F.lit(0))
 
 
+def _one_document(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes (node) of the different texts of one doc_id, from rows (doc_id, node)."""
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    return rows.join(least, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row doc_id, n_shingles and component_id: the smallest doc_id reachable by links of 100 * |A and B| >= percent * |A or B|.
 
     Null, empty and blank texts have no shingle and are linked with nothing; fewer than k words are one shingle. Ties are links.
-    Rows with one doc_id are one document; those of a null doc_id are returned with their size and a null component. An empty table
-    gives no rows. Other columns, whatever their names, are not read.
+    Rows with one doc_id are one document: each is returned with its own size, and what any of its texts is linked with is linked with
+    all of them. Rows of a null doc_id are returned with their size and a null component. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -218,7 +241,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first = cells.groupBy("doc_id").agg(F.min("token").alias("token"), F.min("n").alias("n")).withColumn("component", F.col("doc_id"))
     meeting = first.groupBy("token").count().where("count > 1").select("token")
     met, met_at = save(first.join(meeting, "token"))
-    early, early_at = save(_links(_blocks(met, False).join(_texts(docs, met), "doc_id"), k, percent))
+    named = every.where("n > 0 and doc_id is not null").select("doc_id", "set_key").join(classes.select("set_key", F.col("doc_id").alias("node")), "set_key").select("doc_id", "node")
+    early, early_at = save(_links(_blocks(met, False).join(_texts(docs, met), "doc_id"), k, percent).unionByName(_one_document(named)))
     groups, groups_at = components(early)
 
     named = cells.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -234,7 +258,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     drop(spark, early_at, late_at)
 
     found = every.select("doc_id", "n", "set_key").join(classes.select("set_key", F.col("doc_id").alias("node")), "set_key", "left").join(linked, "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    # the empty texts of a document go with its others; rows of null doc_id are groups of their own
+    whole = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.min(own).over(whole).alias("component_id"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

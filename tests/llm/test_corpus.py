@@ -78,6 +78,15 @@ def test_jaccard_edges(spark, docs_of):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 0, None), (0, 1, None), (4, 1, 4)]
 
 
+def test_repeated_ids_are_one_document(docs_of, monkeypatch):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(3, b), (5, a), (5, b), (7, a), (8, ""), (8, a + " end"), (9, "apart from all of the others"), (9, None)]
+    for listed in (200_000, -1):
+        monkeypatch.setattr(jaccard_join, "LISTED", listed)
+        got = jaccard_join.jaccard_components(docs_of(rows), 5, 80).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 9)} and len(got) == len(rows)
+
+
 def test_tree_finds_every_link(monkeypatch):
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 2**63, rng.integers(1, 80)).astype(np.uint64)) for _ in range(12)]
