@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigaudit.llm.bpe_coding import tokenizer_path
-from sigaudit.llm.common import save, table
+from sigaudit.llm.common import drop, save, table
 from sigaudit.llm.jaccard_join import jaccard_components
 from sigaudit.llm.line_dedup import dedup_lines
 from sigaudit.llm.packing import pack_documents
@@ -32,7 +32,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies, five-word shingles and similarity 0.8. Rows without a doc_id stay."""
+    """The smallest doc_id of each group of near copies, five-word shingles and similarity 0.8. Rows of one doc_id are one document and
+    stay or go together; rows without a doc_id stay."""
     docs = docs.select(*COLUMNS)
     others = jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; the table of a stage goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = save(stage(spark, docs, sf_dir))
+        docs, path = save(stage(spark, docs, sf_dir))
+        if before:
+            drop(spark, before)
+        before = path
     return docs
