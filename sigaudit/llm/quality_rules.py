@@ -161,10 +161,10 @@ def robust_estimate(rows: DataFrame, prior: DataFrame | None = None) -> DataFram
         border = share.where(F.col("upto") >= CORE * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("border"))
         core = near.join(_spread(border), ["group", "start", "salt"]).where("bin <= border").select(*keys, *DIMENSIONS)
         following, path = save(_moments(core, keys, CONSISTENCY, prior))
-        moved = following.join(estimate.select("group", "start", F.col("det").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
+        still = step > TRIED and (following.join(estimate.select("group", "start", F.col("det").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0] or 0.0) < STILL
         drop(spark, at)
         estimate, at = following, path
-        if step > TRIED and (moved or 0.0) < STILL:
+        if still:
             break
     return estimate.drop("start", "wide", "det")
 
