@@ -48,7 +48,9 @@ def chi_square_quantile(share: float, dof: int) -> float:
 CONSISTENCY = CORE / chi_square(chi_square_quantile(CORE, len(DIMENSIONS)), len(DIMENSIONS) + 2)
 #: Rejected beyond this Mahalanobis distance (5.78).
 FAR = math.sqrt(chi_square_quantile(WITHIN, len(DIMENSIONS)))
-#: Places in which the rows of one group meet its estimate: a group may hold a third of all rows.
+#: Up to so many groups, their counted table of estimates (about 200 bytes a start) is broadcast to the rows.
+FEW = 2000
+#: Places in which the rows of one group meet its estimate where there are more groups: a group may hold a third of all rows.
 SALTS = 16
 #: Bins a unit of log distance in the histograms that place the core's border.
 BINS = 64
@@ -98,13 +100,14 @@ def _transformed() -> list[Column]:
 PAIRS = list(combinations_with_replacement(DIMENSIONS, 2))
 
 
-def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0, prior: DataFrame | None = None) -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str], few: bool, factor: float = 1.0, prior: DataFrame | None = None) -> DataFrame:
     """Mean, covariance (factor times that of the rows), Cholesky factor of the scatter (covariance and FLOOR) and log determinant of each
     group's rows. prior: means and covariances a wide group (its rows name it), which count for PRIOR rows of each."""
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMENSIONS), *((factor * F.covar_pop(a, b)).alias(f"c_{a}{b}") for a, b in PAIRS))
     if prior is not None:
         names = [*(f"m_{d}" for d in DIMENSIONS), *(f"c_{a}{b}" for a, b in PAIRS)]
-        both = sums.join(prior.select(F.col("group").alias("wide"), *(F.col(c).alias(f"p_{c}") for c in names)), "wide")
+        prior = prior.select(F.col("group").alias("wide"), *(F.col(c).alias(f"p_{c}") for c in names))
+        both = sums.join(F.broadcast(prior) if few else prior, "wide")
         sums = both.select(*keys, *(((F.col("n") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in names))
     scatter = {(a, b): F.col(f"c_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0) for a, b in PAIRS}
     # the Cholesky factor column by column, so that no expression is repeated
@@ -132,35 +135,39 @@ def _distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(DIMENSIONS))), F.lit(0.0))))
 
 
-def _spread(groups: DataFrame) -> DataFrame:
-    """A table of groups, once for each salt."""
-    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+def _meet(rows: DataFrame, groups: DataFrame, few: bool, keys: tuple[str, ...] = ("group",), how: str = "inner") -> DataFrame:
+    """rows with what groups says of their group: by broadcast of few groups, else with each group once for each salt."""
+    if few:
+        return rows.join(F.broadcast(groups), [*keys], how)
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    return rows.join(groups.withColumn("salt", salts), [*keys, "salt"], how)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Rows of each (group, start): all rows of the group, and SAMPLE rows or so by hash for each other start."""
     sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
     places = F.greatest(F.floor(F.col("size") / SAMPLE), F.lit(1))
-    sized = rows.join(_spread(sizes), ["group", "salt"]).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    sized = _meet(rows, sizes, few).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
     return sized.where((F.col("start") == 0) | (F.pmod(F.xxhash64("draw", "start"), places) == 0)).select("group", "wide", "start", *DIMENSIONS)
 
 
-def robust_estimate(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def robust_estimate(rows: DataFrame, few: bool, prior: DataFrame | None = None) -> DataFrame:
     """Per group of rows (group, wide, salt, draw, x0..) mean, covariance and Cholesky factor of its concentrated core: from each start
-    TRIED steps on to the nearest CORE share of all rows of the group, and from that of least determinant until none moves."""
+    TRIED steps on to the nearest CORE share of all rows of the group, and from that of least determinant until none moves. few: the
+    rows have been counted to have at most FEW groups."""
     spark, keys = rows.sparkSession, ["group", "wide", "start"]
-    estimate, at = save(_moments(_starts(rows), keys, 1.0, prior))
+    estimate, at = save(_moments(_starts(rows, few), keys, few, 1.0, prior))
     for step in range(STEPS):
         if step == TRIED:
             least = F.row_number().over(Window.partitionBy("group").orderBy("det", "start"))
             estimate = estimate.withColumn("place", least).where("place = 1").drop("place")
-        near = _distance(rows.join(_spread(estimate.drop("wide")), ["group", "salt"])).withColumn("bin", F.floor(F.log1p("d") * BINS))
+        near = _distance(_meet(rows, estimate.drop("wide"), few)).withColumn("bin", F.floor(F.log1p("d") * BINS))
         bins = near.groupBy("group", "start", "bin").count()
         upto = Window.partitionBy("group", "start").orderBy("bin")
         share = bins.withColumn("upto", F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("count").over(Window.partitionBy("group", "start")))
         border = share.where(F.col("upto") >= CORE * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("border"))
-        core = near.join(_spread(border), ["group", "start", "salt"]).where("bin <= border").select(*keys, *DIMENSIONS)
-        following, path = save(_moments(core, keys, CONSISTENCY, prior))
+        core = _meet(near, border, few, ("group", "start")).where("bin <= border").select(*keys, *DIMENSIONS)
+        following, path = save(_moments(core, keys, few, CONSISTENCY, prior))
         still = step > TRIED and (following.join(estimate.select("group", "start", F.col("det").alias("before")), ["group", "start"]).agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0] or 0.0) < STILL
         drop(spark, at)
         estimate, at = following, path
@@ -183,8 +190,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     stats, _ = save(named.withColumn("draw", F.xxhash64("doc_id", "n_words", "word_chars")).withColumn("salt", F.pmod("draw", F.lit(SALTS))))
     rows = stats.select("*", *_transformed())
     core = rows.where(~F.col("base_failed")).select("group", "wide", "salt", "draw", *DIMENSIONS)
-    languages = robust_estimate(core.withColumn("group", F.col("wide")))
-    out = _distance(rows.join(_spread(robust_estimate(core, languages)), ["group", "salt"], "left"))
+    few = core.select("group").distinct().count() <= FEW
+    languages = robust_estimate(core.withColumn("group", F.col("wide")), few)
+    out = _distance(_meet(rows, robust_estimate(core, few, languages), few, how="left"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d"), F.lit(0.0)) <= FAR)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d").alias("distance"))
 
