@@ -288,6 +288,14 @@ def test_null_groups_and_lone_rows(spark):
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in got) == [(0, True), (1, True), (2, True), (4, False)]
 
 
+def test_many_groups_meet_their_estimates_in_salted_places(small, spark, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    verdict = lambda: {r["doc_id"]: (r["kept"], r["distance"] and round(r["distance"], 6)) for r in quality_rules.quality_rules(docs).collect()}
+    few = verdict()
+    monkeypatch.setattr(quality_rules, "FEW", -1)
+    assert verdict() == few
+
+
 def test_cut_is_a_chi_square_quantile():
     assert abs(quality_rules.chi_square_quantile(0.5, 4) - 3.35669) < 1e-4 and abs(quality_rules.chi_square_quantile(0.9999, 4) - 23.51274) < 1e-3 and quality_rules.FAR < 6
     assert abs(quality_rules.CONSISTENCY - 2.11) < 0.02
