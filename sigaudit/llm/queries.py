@@ -8,6 +8,7 @@ from .jaccard_join import op3_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .main_text import op6_main_text
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .packing import op5_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_coding": op10_bpe_coding,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
