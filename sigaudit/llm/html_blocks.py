@@ -33,12 +33,14 @@ _ENDS: dict[str, re.Pattern] = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for
 
 @dataclass(eq=False)
 class Element:
-    """part: how the element and those around it are marked: "" (not at all), "main", "frame", or "mixed": a main part in a frame."""
+    """part: how the element and those around it are marked: "" (not at all), "main", "frame", or "mixed": a main part in a frame. sure:
+    that mark is of a tag, role or attribute, not of a word in a name."""
 
     tag: str
     parent: Element | None
     depth: int
     part: str = ""
+    sure: bool = False
 
 
 @dataclass
@@ -55,8 +57,8 @@ class Tag:
     attributes: dict[str, str]
 
 
-def _marks(tag: Tag, parent: Element) -> tuple[bool, bool]:
-    """Whether an element marks frame, main part."""
+def _marks(tag: Tag, parent: Element) -> tuple[bool, bool, bool]:
+    """Whether an element marks frame, main part; and whether its tag, role or attributes say the same without the words in its names."""
     name = tag.name
     frame, main = name in FRAME_TAGS, name in MAIN_TAGS
     if name == "header" and parent.part != "main":
@@ -66,6 +68,7 @@ def _marks(tag: Tag, parent: Element) -> tuple[bool, bool]:
     frame, main = frame or role in FRAME_ROLES, main or role in ("main", "article")
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDES.search(given.get("style", "")):
         frame = True
+    sure = (frame, main and not frame)
     for one in f"{given.get('class', '')} {given.get('id', '')} {given.get('itemprop', '')}".split():
         words = {x.lower() for x in _NAME.findall(one)}
         if words & _NOT or name in ("html", "body"):
@@ -74,17 +77,19 @@ def _marks(tag: Tag, parent: Element) -> tuple[bool, bool]:
             frame = True
         elif words & MAIN_WORDS:
             main = True
-    return frame, main
+    return frame, main, sure == (frame, main and not frame)
 
 
-def _part(tag: Tag, parent: Element) -> str:
+def _part(tag: Tag, parent: Element) -> tuple[str, bool]:
     """The nearest mark holds, but a main part does not leave the frame that it is in: what it is remains open."""
-    frame, main = _marks(tag, parent)
+    frame, main, sure = _marks(tag, parent)
     if frame:
-        return "frame"
+        return "frame", sure
     if main and parent.part != "main":
-        return "mixed" if parent.part else "main"
-    return parent.part
+        return ("mixed" if parent.part else "main"), sure
+    if main and sure:
+        return "main", True
+    return parent.part, parent.sure
 
 
 def tokens(html: str) -> Iterator[str | Tag]:
@@ -185,7 +190,7 @@ def blocks(html: str) -> list[Block]:
         elif tag not in EMPTY:
             if here.tag == "p" or (here.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 leave()
-            here = Element(tag, here, here.depth + 1, _part(token, here))
+            here = Element(tag, here, here.depth + 1, *_part(token, here))
             opened[tag] += 1
     close()
     return out

@@ -1,8 +1,10 @@
 """Operator 6: main text of web pages by minimum-cut labelling.
 
-A page's text blocks are the nodes of a graph. A classifier's log odds are the capacities to the two terminals; tags, roles and words
-in class names are features like the text's. Blocks that are next to each other in page order or in one container are joined by edges
-that weaken with their distance in the document tree. The minimum cut, found by augmenting paths, separates content from boilerplate.
+A page's text blocks are the nodes of a graph. A classifier's log odds are capacities to the two terminals. It knows a block's text, its
+place and the words in class names around it, and learns what they tell from pages whose tags (article, nav, footer ...) say which part
+is which; tags are no features of it. Where a page has such tags they are a second, moderate capacity. Blocks that are next to each
+other in page order or in one container are joined by edges that weaken with their distance in the document tree. The minimum cut, found
+by augmenting paths, separates content from boilerplate.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from .html_blocks import Block, blocks
 #: Pages that the classifier is fitted on, about; the capacity of an edge at distance 0, and what is left of it a step; log odds that a block has at most.
 SAMPLE, EDGE, FADE, MOST = 400, 16.0, 0.4, 8.0
 #: Pull of the fit towards these weights (fixed values). From the text: bias, log words, link share, sentence end, heading, list item or
-#: cell, place in the page, a mark of rights. From the markup: in a main part, in a frame, in a main part within a frame where
-#: the page has no other, outside the main part of a page that has one.
-PRIOR = np.array([-0.5, 1.2, -4.0, 1.0, 1.5, -0.5, 0.0, -4.0, 4.0, -7.0, 1.5, -4.0])
+#: cell, place in the page, a mark of rights. From the words in names: in a main part, in a frame, in a main part within a frame.
+PRIOR = np.array([-0.5, 1.2, -4.0, 1.0, 1.5, -0.5, 0.0, -4.0, 2.0, -6.0, 0.0])
 TEXT = 8
+#: Capacity of tags and roles: in a main part, in a frame, outside the main part of a page that has one.
+TAGS = {"main": 3.0, "frame": -6.0, "outside": -3.0}
 ITEMS = frozenset(("li", "td", "th", "dt", "dd"))
 RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
 FRAME_STEPS = 2
@@ -34,32 +37,47 @@ PULL = 0.01
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """A row a block: TEXT columns from the text and its place, and the others from the markup."""
+    """A row a block: TEXT columns from the text and its place, and the others from words in names that are nearer than any tag's mark."""
     n = len(page)
-    marked = any(b.element.part == "main" for b in page)
     rows = [
-        [1.0, np.log1p(b.text.count(" ") + 1) - 2, b.linked / len(b.text), b.text[-1] in ".!?…:;\"'”»)", b.element.tag[:1] == "h" and b.element.tag[1:].isdigit(), b.element.tag in ITEMS, abs(2 * i / n - 1), RIGHTS.search(b.text[:200]) is not None,
-         b.element.part == "main", b.element.part == "frame", b.element.part == "mixed" and not marked, marked and b.element.part in ("", "mixed")]
+        [1.0, np.log1p(b.text.count(" ") + 1) - 2, b.linked / len(b.text), b.text[-1] in ".!?…:;\"'”»)", b.element.tag[:1] == "h" and b.element.tag[1:].isdigit(), b.element.tag in ITEMS, abs(2 * i / n - 1), RIGHTS.search(b.text) is not None,
+         *(b.element.part == part and not b.element.sure for part in ("main", "frame", "mixed"))]
         for i, b in enumerate(page)
     ]
     return np.array(rows, float).reshape(-1, len(PRIOR))
 
 
+def tag_parts(page: list[Block]) -> list[str]:
+    """What tags and roles say of each block: "main", "frame", "outside" (of the main part of a page that has one), or "" where they say
+    nothing or a word in a name is nearer."""
+    marked = any(b.element.part == "main" and b.element.sure for b in page)
+    return ["outside" if marked and b.element.part in ("", "mixed") else b.element.part if b.element.sure and b.element.part != "mixed" else "" for b in page]
+
+
 def weak_labels(page: list[Block]) -> np.ndarray:
-    """1: in a main part, 0: in the page's frame or outside the main part, -1: not known."""
-    marked = any(b.element.part == "main" for b in page)
-    known = {"main": 1, "frame": 0, "mixed": -1, "": 0 if marked else -1}
-    return np.array([known[b.element.part] for b in page], int)
+    """By tags and roles, 1: in a main part, 0: in a frame, or outside the main part of a page that has one; -1: not known."""
+    marked = any(b.element.part == "main" and b.element.sure for b in page)
+    outside = lambda b: marked and not _within(b, "main")
+    return np.array([1 if part == "main" else 0 if part or outside(b) else -1 for part, b in zip(tag_parts(page), page, strict=True)], int)
+
+
+def _within(b: Block, part: str) -> bool:
+    e = b.element
+    while e is not None:
+        if e.part == part and e.sure:
+            return True
+        e = e.parent
+    return False
 
 
 def without_markup(x: np.ndarray) -> np.ndarray:
-    """The same rows as of a page whose markup tells nothing."""
+    """The same rows as of a page whose names tell nothing."""
     return np.where(np.arange(x.shape[1]) < TEXT, x, 0.0)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps, with a Gaussian prior around PRIOR; the two labels weigh alike. Each row counts twice, with
-    its markup and without, so that the text's weights are learned for pages whose markup tells nothing."""
+    the words in names and without, so that the text's weights are learned for pages whose names tell nothing."""
     w = PRIOR.copy()
     if not ((y == 1).any() and (y == 0).any()):
         return w
@@ -146,9 +164,14 @@ def log_odds(page: list[Block], weights: np.ndarray) -> np.ndarray:
     return np.clip(features(page) @ weights, -MOST, MOST)
 
 
+def capacities(page: list[Block], weights: np.ndarray) -> np.ndarray:
+    """To the content's terminal where positive, to the other where negative: the classifier's, and those of tags."""
+    return log_odds(page, weights) + np.array([TAGS.get(part, 0.0) for part in tag_parts(page)])
+
+
 def content(page: list[Block], weights: np.ndarray) -> np.ndarray:
     """Which blocks are on the content's side of the minimum cut."""
-    return source_side(log_odds(page, weights), edges(page)) if page else np.zeros(0, bool)
+    return source_side(capacities(page, weights), edges(page)) if page else np.zeros(0, bool)
 
 
 def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:

@@ -243,7 +243,26 @@ def test_cut_mends_labels_of_the_classifier(spark, small):
         alone, cut = main_text.log_odds(page, weights) > 0, main_text.content(page, weights)
         if len(page) == len(truth):
             wrong, mended, changed = wrong + (alone != truth).sum(), mended + (cut != truth).sum(), changed + (alone != cut).sum()
-    assert changed > 100 and mended < 0.7 * wrong
+    assert changed > 100 and mended < 0.3 * wrong
+
+
+def test_cut_on_pages_as_given(spark, small):
+    """What the tags say is no feature of the classifier; its errors on pages as they are go by the cut, and with all tags made divs the
+    words in names are enough."""
+    pages = spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet")
+    weights, alone, cut, bare = main_text.fit(pages), 0, 0, 0
+    for html in [r["html"] for r in pages.select("html").collect()]:
+        page = html_blocks.blocks(html)
+        truth = np.array([p == "main" for p in main_text.tag_parts(page)])
+        alone += ((main_text.log_odds(page, weights) > 0) != truth).sum()
+        cut += (main_text.content(page, weights) != truth).sum()
+        plain = html_blocks.blocks(re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", html))
+        bare += (main_text.content(plain, weights) != truth).sum()
+    assert 0 < alone < 20 and cut == 0 and bare <= 5
+
+
+def test_rights_anywhere_in_a_block():
+    assert main_text.features(html_blocks.blocks("<p>" + "word " * 100 + "© someone"))[0, 7] == 1
 
 
 def test_query_is_brute_force_labelling(spark, small):
@@ -256,7 +275,7 @@ def test_query_is_brute_force_labelling(spark, small):
         page = html_blocks.blocks(html[r["page_id"]])
         if not 0 < len(page) <= 14:
             continue
-        odds, links = main_text.log_odds(page, weights), main_text.edges(page)
+        odds, links = main_text.capacities(page, weights), main_text.edges(page)
         side = (np.arange(1 << len(page))[:, None] >> np.arange(len(page))) & 1
         cost = side @ np.maximum(-odds, 0) + (1 - side) @ np.maximum(odds, 0) + sum(c * (side[:, a] != side[:, b]) for a, b, c in links)
         best = side[np.argmin(np.round(cost, 9) + 1e-12 * side.sum(axis=1))]

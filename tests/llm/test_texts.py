@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -180,6 +182,30 @@ def test_redaction(spark, docs_of):
     assert got[0]["text"] is None and got[1]["text"] == "[access] and AKIAshort [access]" and got[1]["n_chars"] == 31 and got[1]["score"] == "x"
 
 
+def test_fast_finders_find_what_the_rules_say():
+    draw = random.Random(4)
+    scanner = secrets.Scanner(secrets.RULES)
+    token = lambda: draw.choice(["eyJ", "ey", "J"]) + "".join(draw.choice("abeyJ-_9") for _ in range(draw.choice([2, 9, 10, 11, 14])))
+    for _ in range(3000):
+        text = "".join(draw.choice([token(), token(), ".", ".", ".", " ", "é", "eyJ"]) for _ in range(draw.randrange(12)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = scanner.spans([text], raw, np.array([0, len(raw)]))[0]
+        assert [(secrets.RULES[i].kind, s, e) for s, i, e in got] == brute_spans(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["eyJ" * 10**6 + " .eyJ", "eyJ" * 10**6 + ".eyJ", "eyJaaaaaaaaaaa." * 10**5, "password" + " " * 10**6, "token = " * 10**5, "-----BEGIN " + "A " * 10**6, "-----BEGIN " * 10**5 + "PRIVATE KEY", "ghp_" * 10**6, "xoxb-" * 10**5 + " x", "AIza" * 10**6, "AIza " * 10**5, "AKIA" * 10**6, "a1" * 10**6, "a1 " * 10**6],
+)
+def test_hostile_texts_take_linear_time(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    scanner = secrets.Scanner(secrets.RULES)
+    began = time.time()
+    scanner.spans([text], raw, np.array([0, len(raw)]))
+    assert time.time() - began < 2
+
+
+
 def test_trigram_queries_are_implied(spark):
     assert query_of(r"[0-9a-f]+") == ALL and query_of(r"ab") == ALL
     assert query_of(r"(abc|abd)?x*") == ALL
