@@ -1,9 +1,9 @@
 """Operator 13: phrase collocations, counted in HAT-tries.
 
-A task counts the phrases of its texts in a trie over word ids with hash tables for leaves. A leaf covers a range of next words; one that
-grows too large is split, by halves of its range or, when it covers one word, by a node over the word after that. When a task holds too
-many phrases, whole subtrees are written out as sorted runs. The runs of all tasks are dealt by ranges of phrases, so that a prefix is in
-one or a few neighbouring partitions, and summed where they meet.
+A task counts the phrases of its texts in a shallow trie whose leaves are array hashes. A node routes by ranges of ids; a leaf that grows
+too large is split, by halves of its range or, when it covers one id, by a node over the id after that. When a task holds too many
+phrases, whole subtrees are written out as sorted runs. The runs of all tasks are dealt by ranges of phrases, so that a prefix is in one
+or a few neighbouring partitions, and summed there.
 
 Phrases grow by level: longer ones are counted only where all their words, then all their pairs, pass a filter of the frequent ones. The
 filter is a bitmap of fixed size: it lets some rare phrases through, which the sums then drop, and never loses a frequent one.
@@ -11,20 +11,20 @@ filter is a bitmap of fixed size: it lets some rare phrases through, which the s
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, drop, save, slices, table, utf8
-from .words import hashes
+from .words import hashes, mix
 
 LONGEST, LEAST, BEST = 4, 30, 2000
 #: Phrases in a leaf before it is split; phrases and words in a task before subtrees are written out.
-BURST, HELD, WORDS = 1 << 16, 1 << 20, 1 << 19
+BURST, HELD, WORDS = 1 << 17, 3 << 20, 1 << 20
 #: Bits of the filter of frequent phrases, as a power of two.
 FILTER = 26
 UNKNOWN = "und"
@@ -32,148 +32,249 @@ UNKNOWN = "und"
 _BREAK = b"\xff"
 _BYTES = bytes(0xFF if chr(i) in ".,;:!?\n\x0b\x0c\r" else 0x20 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 RUN_KIND = "lang string, size int, phrase binary, f bigint"
-
-
-class Leaf:
-    """Counts of phrases by their ids, as bytes."""
-
-    def __init__(self) -> None:
-        self.counts: Counter[bytes] = Counter()
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+_FOLD = np.uint64(0xD6E8FEB86659FD93)
+
+
+class ArrayHash:
+    """A hash table in arrays: 64-bit keys by open addressing, each with a number. Keys are below the largest one."""
+
+    def __init__(self, size: int = 1 << 10):
+        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int64), 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys, which get one where they have none."""
+        wanted, mask = keys + np.uint64(1), np.uint64(len(self.keys) - 1)
+        slot = (mix(wanted) & mask).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            at, key = slot[left], wanted[left]
+            held = self.keys[at]
+            empty = held == 0
+            if empty.any():
+                # of several keys that claim a place the last one has it, and its like; the others go on
+                place, claim = at[empty], np.arange(1, empty.sum() + 1)
+                self.values[place] = claim
+                won = self.values[place] == claim
+                self.values[place] = 0
+                self.keys[place[won]] = key[empty][won]
+                self.used += int(won.sum())
+                if 2 * self.used > len(self.keys):
+                    self._grow()
+                    return self.slots(keys)
+                held = self.keys[at]
+            left = left[held != key]
+            slot[left] = (slot[left] + 1) & int(mask)
+        return slot
+
+    def _grow(self) -> None:
+        keys, values = self.items()
+        self.__init__(8 * len(self.keys))
+        slot = self.slots(keys)
+        self.values[slot] = values
+
+    def count(self, keys: np.ndarray) -> int:
+        """Add one to the number of each key, as often as it comes; how many keys are new."""
+        before = self.used
+        for lo in range(0, len(keys), 1 << 16):
+            slot = self.slots(keys[lo : lo + (1 << 16)])
+            np.add.at(self.values, slot, 1)
+        return self.used - before
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; new keys get the next ones, from 0."""
+        out = []
+        for lo in range(0, len(keys), 1 << 16):
+            before = self.used
+            slot = self.slots(keys[lo : lo + (1 << 16)])
+            new = np.unique(slot[self.values[slot] == 0])
+            self.values[new] = np.arange(before + 1, before + 1 + len(new))
+            out.append(self.values[slot] - 1)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        there = self.keys != 0
+        return self.keys[there] - np.uint64(1), self.values[there]
+
+
+def part_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The id of keys at a depth: their upper half, then their lower half."""
+    return (keys >> _HALF if depth == 0 else keys & _LOW).astype(np.int64)
 
 
 class Node:
-    """Children by the id at one depth: route has the number of the child that each id goes to; neighbouring ids may share a leaf."""
-
-    def __init__(self, depth: int, width: int):
-        self.depth, self.route, self.children = depth, np.zeros(width, np.int32), [Leaf()]
-
-    def add(self, phrases: np.ndarray, burst: int) -> int:
-        """Count phrases, rows of ids; the number of new ones."""
-        if self.depth >= phrases.shape[1]:
-            raise ValueError("a phrase ends above its leaf")
-        first = phrases[:, self.depth]
-        top = int(first.max()) + 1
-        if top > len(self.route):
-            self.route = np.concatenate([self.route, np.full(max(top, 2 * len(self.route)) - len(self.route), self.route[-1], np.int32)])
-        to = self.route[first]
-        order = np.argsort(to, kind="stable") if len(self.children) > 1 else np.arange(len(to))
-        edges = np.flatnonzero(np.diff(to[order])) + 1
-        new = 0
-        for part in np.split(order, edges):
-            child, rows = int(to[part[0]]), phrases[part]
-            below = self.children[child]
-            if isinstance(below, Node):
-                new += below.add(rows, burst)
-                continue
-            before = len(below.counts)
-            below.counts.update(np.ascontiguousarray(rows, ">u4").view(f"V{4 * rows.shape[1]}").ravel().tolist())
-            new += len(below.counts) - before
-            if len(below.counts) > burst:
-                self._split(child)
+    """Children by ranges of the id at a depth: child k covers the ids from starts[k] to the next one's. A child is a node or a leaf."""
+
+    def __init__(self, depth: int = 0):
+        self.depth, self.starts, self.children = depth, np.zeros(1, np.int64), [ArrayHash()]
+
+    def add(self, keys: np.ndarray, burst: int) -> int:
+        """Count keys; how many are new."""
+        if len(self.children) == 1:
+            return self._to(0, keys, burst)
+        to = np.searchsorted(self.starts, part_of(keys, self.depth), "right") - 1
+        order = np.argsort(to, kind="stable")
+        keys, to = keys[order], to[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+        # from the last child on, as a split moves those after it
+        return sum(self._to(int(to[edges[i]]), keys[edges[i] : edges[i + 1]], burst) for i in range(len(edges) - 2, -1, -1))
+
+    def _to(self, child: int, keys: np.ndarray, burst: int) -> int:
+        below = self.children[child]
+        if isinstance(below, Node):
+            return below.add(keys, burst)
+        new = below.count(keys)
+        if below.used > burst:
+            self._split(child, burst)
         return new
 
-    def _split(self, child: int) -> None:
-        own = np.flatnonzero(self.route == child)
-        counts = self.children[child].counts
-        width = len(next(iter(counts))) // 4
-        keys = np.frombuffer(b"".join(counts), ">u4").reshape(-1, width)
-        at = keys[:, self.depth]
-        if at.min() == at.max():
-            if self.depth + 1 < width:
-                below = Node(self.depth + 1, 1)
-                below.children[0].counts = counts
-                below._spread()
-                self.children[child] = below
-            return
-        middle = np.partition(at, len(at) // 2)[len(at) // 2]
-        middle = middle if middle > at.min() else middle + 1
-        right = Leaf()
-        high = at >= middle
-        every = list(counts.items())
-        right.counts.update(dict(every[i] for i in np.flatnonzero(high).tolist()))
-        left = Leaf()
-        left.counts.update(dict(every[i] for i in np.flatnonzero(~high).tolist()))
-        self.children[child] = left
-        self.children.append(right)
-        self.route[own[own >= middle]] = len(self.children) - 1
-
-    def _spread(self) -> None:
-        """Make the route as wide as the ids of a leaf that came as it is."""
-        counts = self.children[0].counts
-        keys = np.frombuffer(b"".join(counts), ">u4").reshape(len(counts), -1)
-        self.route = np.zeros(int(keys[:, self.depth].max()) + 1, np.int32)
-        self._split(0)
-
-    def leaves(self) -> Iterator[Leaf]:
-        """In the order of the ids."""
-        seen: set[int] = set()
-        for child in self.route.tolist():
-            if child not in seen:
-                seen.add(child)
-                below = self.children[child]
-                yield from below.leaves() if isinstance(below, Node) else (below,)
+    def _split(self, child: int, burst: int) -> None:
+        keys, values = self.children[child].items()
+        ids = part_of(keys, self.depth)
+        middle = int(np.partition(ids, len(ids) // 2)[len(ids) // 2])
+        if middle == ids.min():
+            above = ids[ids > middle]
+            if not len(above):
+                # one id: a node over the next, if there is a next
+                if self.depth == 0:
+                    below = Node(1)
+                    below.children[0] = self.children[child]
+                    self.children[child] = below
+                    below._split(0, burst)
+                return
+            middle = int(above.min())
+        halves = []
+        for half in (ids < middle, ids >= middle):
+            leaf = ArrayHash()
+            for lo in range(0, int(half.sum()), 1 << 16):
+                part = np.flatnonzero(half)[lo : lo + (1 << 16)]
+                slot = leaf.slots(keys[part])
+                leaf.values[slot] = values[part]
+            halves.append(leaf)
+        self.children[child : child + 1] = halves
+        self.starts = np.insert(self.starts, child + 1, middle)
+
+    def leaves(self) -> Iterator[ArrayHash]:
+        """In the order of their ids."""
+        for below in self.children:
+            yield from below.leaves() if isinstance(below, Node) else (below,)
+
+
+def _pieces(column: pa.BinaryArray) -> list[bytes]:
+    """The values of a column without nulls; much faster than its own to_pylist()."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def _folded(seed: np.uint64, words: list[np.ndarray]) -> np.ndarray:
+    """A hash of phrases from their words' hashes, as places in the filter."""
+    x = np.full(len(words[0]), seed, np.uint64)
+    for h in words:
+        x = mix((x * _FOLD) ^ h)
+    return (x >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) for w in words], out=at[1:])
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    return hashes(raw, at[:-1], at[1:])
+
+
+def _seed(lang: str) -> np.uint64:
+    return _hashes([lang.encode() + b"\n"])[0]
 
 
 class Tries:
-    """The phrases of one task: a trie a language and size, and the ids of its words."""
+    """The phrases of one task: a trie a language and size, and the ids of its words. Keys of phrases of one word hold its id, of two
+    words both ids; of three and four the numbers of their first and their last pair."""
 
     def __init__(self, burst: int, held: int, words: int):
         self.burst, self.held, self.most_words = burst, held, words
+        self.seeds: dict[str, np.uint64] = {}
         self.clear()
 
     def clear(self) -> None:
         self.roots: dict[tuple[str, int], Node] = {}
-        self.sizes: dict[tuple[str, int], int] = {}
+        self.phrases = 0
         self.ids: dict[bytes, int] = {_BREAK: 0}
-
-    def words_of(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Ids of the words of texts in order, 0 where a piece ends; and the words."""
-        found = _BREAK.join(texts).translate(_BYTES).replace(_BREAK, b" \xff ").split()
-        ids = self.ids
-        for w in set(found).difference(ids):
-            ids[w] = len(ids)
-        return np.fromiter(map(ids.__getitem__, found), np.uint32, len(found)), found
-
-    def add(self, lang: str, phrases: np.ndarray) -> None:
-        if len(phrases):
-            key = (lang, phrases.shape[1])
-            root = self.roots.setdefault(key, Node(0, len(self.ids)))
-            self.sizes[key] = self.sizes.get(key, 0) + root.add(phrases, self.burst)
+        self.hash = np.zeros(1, np.uint64)
+        self.pairs = ArrayHash()
+
+    def words_of(self, texts: list[bytes]) -> np.ndarray:
+        """Ids of the words of texts in order, 0 where a piece ends."""
+        b = np.frombuffer(_BREAK.join(texts).translate(_BYTES), np.uint8)
+        inside, end = b != 32, b == 0xFF
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | end[:-1] | end[1:]
+        data = b[inside]
+        at = np.append(np.cumsum(inside)[begins] - 1, len(data)).astype(np.int32)
+        # words are compared as bytes: equal ones once a call
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        each, ids = _pieces(coded.dictionary), self.ids
+        new = [w for w in each if w not in ids]
+        if new:
+            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+            self.hash = np.concatenate([self.hash, _hashes(new)])
+        return np.fromiter(map(ids.__getitem__, each), np.int64, len(each))[coded.indices.to_numpy()]
+
+    def passing(self, bits: np.ndarray, lang: str, parts: list[np.ndarray]) -> np.ndarray:
+        """Whether the phrases of these words, by ids, pass the filter."""
+        if lang not in self.seeds:
+            self.seeds[lang] = _seed(lang)
+        spots = _folded(self.seeds[lang], [self.hash[p] for p in parts])
+        return (bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
+
+    def add(self, lang: str, size: int, keys: np.ndarray) -> None:
+        if len(keys):
+            self.phrases += self.roots.setdefault((lang, size), Node()).add(keys, self.burst)
 
     def full(self) -> bool:
-        return sum(self.sizes.values()) > self.held or len(self.ids) > self.most_words
+        return self.phrases + self.pairs.used > self.held or len(self.ids) > self.most_words
 
     def runs(self) -> Iterator[pa.RecordBatch]:
         """All subtrees as sorted runs; nothing is kept."""
-        words = list(self.ids)
+        listed = list(self.ids)
+        words = pa.array(listed, pa.binary())
+        rank = np.empty(len(listed), np.int64)
+        rank[pa.compute.array_sort_indices(words).to_numpy()] = np.arange(len(listed))
+        keys, numbers = self.pairs.items()
+        pair = np.empty(len(keys), np.uint64)
+        pair[numbers - 1] = keys
         for lang, size in sorted(self.roots):
             for leaf in self.roots[lang, size].leaves():
-                if not leaf.counts:
-                    continue
-                keys = np.frombuffer(b"".join(leaf.counts), ">u4").reshape(-1, size).tolist()
-                run = sorted(zip((b" ".join([words[i] for i in k]) for k in keys), leaf.counts.values(), strict=True))
-                n = len(run)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array([x[0] for x in run], pa.binary()), pa.array([x[1] for x in run], pa.int64())], ["lang", "size", "phrase", "f"])
+                keys, counts = leaf.items()
+                for lo in range(0, len(keys), 1 << 17):
+                    key, f = keys[lo : lo + (1 << 17)], counts[lo : lo + (1 << 17)]
+                    first, last = part_of(key, 0), part_of(key, 1)
+                    if size > 2:
+                        ends = part_of(pair[last], 0), part_of(pair[last], 1)
+                        parts = [part_of(pair[first], 0), part_of(pair[first], 1), *ends[4 - size :]]
+                    else:
+                        parts = [first, last][:size]
+                    order = np.lexsort([rank[p] for p in reversed(parts)])
+                    spelled = [words.take(pa.array(p[order])) for p in parts]
+                    phrase = spelled[0] if size == 1 else pa.compute.binary_join_element_wise(*spelled, b" ")
+                    n = len(order)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase, pa.array(f[order])], ["lang", "size", "phrase", "f"])
         self.clear()
 
 
-def _spots(lang: str, phrases: list[bytes]) -> np.ndarray:
-    """The bits of phrases in the filter."""
-    at = np.zeros(len(phrases) + 1, np.int64)
-    np.cumsum([len(p) + len(lang.encode()) + 1 for p in phrases], out=at[1:])
-    raw = np.frombuffer(b"".join(lang.encode() + b"\n" + p for p in phrases), np.uint8)
-    return (hashes(raw, at[:-1], at[1:]) >> np.uint64(64 - FILTER)).astype(np.int64)
-
-
 def frequent_filter(found: DataFrame) -> np.ndarray:
     """The bitmap of phrases (lang, phrase), 2^FILTER bits whatever their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER - 3), np.uint8)
         for batch in batches:
-            lang = np.array(batch.column(0).to_pylist(), object)
-            for one in dict.fromkeys(lang.tolist()):
-                spots = _spots(one, [batch.column(1)[i].as_py() for i in np.flatnonzero(lang == one).tolist()])
+            by: dict[tuple[str, int], list[list[bytes]]] = {}
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = phrase.split(b" ")
+                by.setdefault((lang, len(words)), []).append(words)
+            for (lang, size), rows in by.items():
+                spots = _folded(_seed(lang), [_hashes([r[k] for r in rows]) for k in range(size)])
                 np.bitwise_or.at(bits, spots >> 3, np.uint8(1) << (spots & 7).astype(np.uint8))
         words = bits.view(np.int64)
         at = np.flatnonzero(words)
@@ -185,33 +286,34 @@ def frequent_filter(found: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _passes(bits: np.ndarray, lang: str, phrases: list[bytes]) -> np.ndarray:
-    spots = _spots(lang, phrases)
-    return (bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _windows(ids: np.ndarray, ok: np.ndarray, size: int) -> np.ndarray:
-    """All phrases of so many words within ids whose starts are ok."""
-    return np.stack([ids[i : len(ids) - size + 1 + i] for i in range(size)], axis=1)[ok[: len(ids) - size + 1]] if len(ids) >= size else np.empty((0, size), np.uint32)
-
-
 def counted(texts: DataFrame, sizes: tuple[int, ...], kept=None, burst: int = BURST, held: int = HELD, words: int = WORDS) -> DataFrame:
-    """Sorted runs (lang, size, phrase, f) of texts (lang, text): phrases of sizes words, all of one word; longer ones of words that pass
-    the filter kept (a broadcast of the bitmap of the level below); from three words on, of pairs that do."""
-    pairs = min(sizes) > 2
+    """Sorted runs (lang, size, phrase, f) of texts (lang, text): all words; pairs of words that pass the filter kept (a broadcast of the
+    bitmap of the level below); phrases of three and four words all of whose pairs do."""
+
+    def level(tries: Tries, lang: str, ids: np.ndarray) -> None:
+        whole = ids > 0
+        wide = ids.astype(np.uint64)
+        if sizes == (1,):
+            tries.add(lang, 1, wide[whole] << _HALF)
+            return
+        if sizes == (2,):
+            whole[whole] = tries.passing(kept.value, lang, [ids[whole]])
+            both = whole[:-1] & whole[1:]
+            tries.add(lang, 2, (wide[:-1][both] << _HALF) | wide[1:][both])
+            return
+        both = whole[:-1] & whole[1:]
+        both[both] = tries.passing(kept.value, lang, [ids[:-1][both], ids[1:][both]])
+        number = np.zeros(len(both), np.uint64)
+        number[both] = tries.pairs.numbers((wide[:-1][both] << _HALF) | wide[1:][both]).astype(np.uint64)
+        for size in sizes:
+            n = len(both) - size + 2
+            if n < 1:
+                continue
+            run = np.logical_and.reduce([both[k : k + n] for k in range(size - 1)])
+            tries.add(lang, size, (number[:n][run] << _HALF) | number[size - 2 : size - 2 + n][run])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = Tries(burst, held, words)
-        passing: dict[tuple[str, object], bool] = {}
-
-        def good(lang: str, keys: np.ndarray, spell) -> np.ndarray:
-            """Whether each key passes; answers are kept as long as the task's ids."""
-            each, back = np.unique(keys, return_inverse=True)
-            new = [k for k in each.tolist() if (lang, k) not in passing]
-            if new:
-                passing.update(zip(((lang, k) for k in new), _passes(kept.value, lang, [spell(k) for k in new]).tolist(), strict=True))
-            return np.array([passing[lang, k] for k in each.tolist()], bool)[back]
-
         for batch in batches:
             raw, at = utf8(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -219,71 +321,18 @@ def counted(texts: DataFrame, sizes: tuple[int, ...], kept=None, burst: int = BU
                 by: dict[str, list[bytes]] = {}
                 for i in range(lo, hi):
                     by.setdefault(names[i], []).append(raw[at[i] : at[i + 1]].tobytes())
-                for lang, texts in by.items():
-                    ids, found = tries.words_of(texts)
-                    whole = ids > 0
-                    if sizes == (1,):
-                        tries.add(lang, ids[whole][:, None])
-                        continue
-                    if not pairs:
-                        spelled = list(tries.ids)
-                        ok = whole.copy()
-                        ok[whole] = good(lang, ids[whole], spelled.__getitem__)
-                        ok = ok[:-1] & ok[1:]
-                        tries.add(lang, _windows(ids, ok, 2))
-                        continue
-                    spelled = list(tries.ids)
-                    ok = whole[:-1] & whole[1:]
-                    both = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
-                    ok[ok] = good(lang, both[ok], lambda k, s=spelled: s[k >> 32] + b" " + s[k & 0xFFFFFFFF])
-                    for size in sizes:
-                        run_of = ok[: len(ok) - size + 2].copy()
-                        for i in range(1, size - 1):
-                            run_of &= ok[i : len(ok) - size + 2 + i]
-                        tries.add(lang, _windows(ids, run_of, size))
-                if tries.full() or len(passing) > 4 * held:
+                for lang, some in by.items():
+                    level(tries, lang, tries.words_of(some))
+                if tries.full():
                     yield from tries.runs()
-                    passing.clear()
         yield from tries.runs()
 
     return texts.mapInArrow(run, RUN_KIND)
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """The sums of sorted runs: phrases are dealt by ranges and sorted, and equal neighbours are added up."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            f = batch.column(3).to_numpy()
-            lang, phrase = batch.column(0), batch.column(2)
-            change = np.ones(n, bool)
-            if n > 1:
-                same = pa.compute.and_(pa.compute.equal(lang[1:], lang[:-1]), pa.compute.equal(phrase[1:], phrase[:-1]))
-                change[1:] = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
-            at = np.flatnonzero(change)
-            total = np.add.reduceat(f, at)
-            rows = batch.take(pa.array(at))
-            key = (rows.column(0)[0].as_py(), rows.column(2)[0].as_py())
-            if last is not None and last[:2] == key:
-                total[0] += last[3]
-            elif last is not None:
-                yield _row(last)
-            last = (rows.column(0)[len(at) - 1].as_py(), rows.column(2)[len(at) - 1].as_py(), rows.column(1)[len(at) - 1].as_py(), int(total[-1]))
-            if len(at) > 1:
-                head = rows.slice(0, len(at) - 1)
-                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), head.column(2), pa.array(total[:-1])], ["lang", "size", "phrase", "f"])
-        if last is not None:
-            yield _row(last)
-
-    return runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(add, RUN_KIND)
-
-
-def _row(x: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.string()), pa.array([x[2]], pa.int32()), pa.array([x[1]], pa.binary()), pa.array([x[3]], pa.int64())], ["lang", "size", "phrase", "f"])
+    """The sums of sorted runs. Phrases are dealt by ranges, which are what the sums are grouped by: they move once."""
+    return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.max("size").alias("size")).select("lang", "size", "phrase", "f")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, **limits: int) -> tuple[DataFrame, DataFrame, list[str]]:

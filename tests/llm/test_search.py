@@ -117,7 +117,7 @@ def test_op13_equals_its_sql(spark, small, duck):
     assert len(want) > 40 and phrases(collocations.op13_collocations(spark, small)) == want
 
 
-@pytest.mark.parametrize("limits", [{}, {"burst": 5, "held": 60, "words": 20}])
+@pytest.mark.parametrize("limits", [{}, {"burst": 5, "held": 300, "words": 60}])
 def test_collocations_against_brute_force(spark, limits):
     draw = random.Random(3)
     words = ["a", "B", "ça", "d'e", "f\x00", "g h", "İ", "x" * 300] + [f"w{i}" for i in range(30)]
@@ -145,16 +145,29 @@ def test_scores_of_counts_beyond_64_bits(spark):
 
 def test_trie_bursts_and_keeps_all_counts():
     draw = np.random.default_rng(2)
-    node = collocations.Node(0, 1)
-    want = Counter()
+    node = collocations.Node()
+    want, new = Counter(), 0
     for _ in range(40):
-        rows = np.minimum(draw.zipf(1.3, (500, 3)), 400).astype(np.uint32)
-        node.add(rows, 50)
-        want.update(map(tuple, rows.tolist()))
-    leaves = list(node.leaves())
-    got = Counter()
+        rows = np.minimum(draw.zipf(1.3, (3000, 2)), 4000).astype(np.uint64)
+        rows[:900, 0] = 7  # one id in a leaf of its own, which is split by the next
+        keys = (rows[:, 0] << np.uint64(32)) | rows[:, 1]
+        new += node.add(keys, 50)
+        want.update(keys.tolist())
+    leaves, got = list(node.leaves()), Counter()
     for leaf in leaves:
-        for k, v in leaf.counts.items():
-            got[tuple(np.frombuffer(k, ">u4").tolist())] += v
-    assert got == want and len(leaves) > 50 and any(isinstance(c, collocations.Node) for c in node.children)
-    assert max(len(x.counts) for x in leaves) <= 400
+        got.update(dict(zip(*(x.tolist() for x in leaf.items()), strict=True)))
+    assert got == want and new == len(want) and len(leaves) > 50 and any(isinstance(c, collocations.Node) for c in node.children)
+    assert max(leaf.used for leaf in leaves) <= 50
+    firsts = [collocations.part_of(leaf.items()[0], 0) for leaf in leaves if leaf.used]
+    assert all(a.max() <= b.min() for a, b in zip(firsts, firsts[1:]))
+
+
+def test_array_hash():
+    draw = np.random.default_rng(3)
+    table, seen = collocations.ArrayHash(), {}
+    for n in (0, 1, 5, 3000, 200000, 7):
+        keys = draw.integers(0, 50000, n).astype(np.uint64) << np.uint64(30)
+        got = table.numbers(keys)
+        for k, v in zip(keys.tolist(), got.tolist(), strict=True):
+            assert seen.setdefault(k, v) == v
+    assert sorted(seen.values()) == list(range(table.used))
