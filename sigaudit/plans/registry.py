@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, oracle, queries
+from . import audit, oracle, queries, signals
 
-QUERIES = queries.QUERIES | audit.QUERIES
-SQL = oracle.SQL | audit.SQL
+QUERIES = queries.QUERIES | audit.QUERIES | signals.QUERIES
+SQL = oracle.SQL | audit.SQL | signals.SQL
