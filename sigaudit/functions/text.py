@@ -79,6 +79,7 @@ def label_of(sentence: Column, strict: bool = True) -> Column:
 
 
 def bracket_list(text: Column, name: str) -> Column:
-    """The numbers of `[name]: [a, b, ...]`; null if absent or empty."""
+    """The numbers of `[name]: [a, b, ...]`; null if absent or empty. Blank entries are passed over; one that is no number is null."""
     inner = F.regexp_extract(text, rf"\[{name}\]: \[([^\]]*)\]", 1)
-    return F.when(F.trim(inner) != "", F.transform(F.split(inner, ","), lambda v: F.trim(v).cast("double")))
+    parts = F.filter(F.transform(F.split(inner, ","), lambda v: F.trim(v)), lambda v: v != "")
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda v: v.try_cast("double")))

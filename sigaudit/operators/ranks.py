@@ -122,12 +122,29 @@ def left_out_medians(rows: DataFrame, columns: list[str], key: str) -> DataFrame
     found = ends.groupBy("key", "f", "k").agg(F.min(F.struct("bin", "low", "own", "own_upto")).alias("b")).select("key", "f", "k", "b.*")
     inside = found.withColumn("rank", F.col("k") - (F.col("low") - (F.col("own_upto") - F.col("own"))))
 
-    # inside its bin: the values of ranks rank to rank + own
+    # inside its bin: between two own values (and before the first) the others' rank is the rank among all less a fixed number of own
+    # ones, so that each stretch has one rank to look up
     needed = b.counts.join(found.select("f", "bin").distinct(), ["f", "bin"], "left_semi")
     ordered = _inside(needed.groupBy("f", "bin", "v").agg(F.sum("c").alias("c")), ["f", "bin"])
-    by_rank = ordered.select("f", "bin", "v", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("at"))
-    candidates = inside.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own")))).withColumn("at", F.col("rank") + F.col("j")).join(by_rank, ["f", "bin", "at"])
+    own_steps = _inside(needed.join(inside.select("key", "f", "bin").distinct(), ["key", "f", "bin"], "left_semi"), ["key", "f", "bin"])
+    stretches = inside.select("key", "f", "bin", "k", "rank", F.lit(0).cast("bigint").alias("j")).unionByName(
+        inside.join(own_steps.select("key", "f", "bin", F.col("upto").alias("j")), ["key", "f", "bin"]).select("key", "f", "bin", "k", "rank", "j"))
+    candidates = value_at(ordered, stretches.withColumn("at", F.col("rank") + F.col("j")), max((int(np.diff(x).max()) for x in b.before.values()), default=1))
     marks = candidates.select("key", "f", "bin", "v", "k", "j", F.lit(0).cast("bigint").alias("c")).unionByName(
-        needed.join(inside.select("key", "f", "bin").distinct(), ["key", "f", "bin"], "left_semi").select("key", "f", "bin", "v", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("j"), "c"))
+        own_steps.select("key", "f", "bin", "v", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("j"), "c"))
     passed = marks.withColumn("own_at_most", F.sum("c").over(Window.partitionBy("key", "f", "bin").orderBy("v"))).where("k is not null and own_at_most <= j")
     return passed.groupBy("key", "f", "k").agg(F.min("v").alias("v")).groupBy("key", "f").agg(F.avg("v").alias("median"))
+
+
+def value_at(ordered: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """wanted (f, bin, at and more) with the value v of ordered (f, bin, v, c, upto) that has the rank at, from 0; ranks beyond the last
+    are left out. A value has the ranks upto - c to upto - 1. That interval is cut into dyadic pieces, two at most a power of two up to
+    most, the largest bin; a rank lies in one piece of each power. So no row is made for each time that a value occurs."""
+    powers = F.sequence(F.lit(0), F.lit(max(0, int(most).bit_length() - 1)))
+    size = lambda h: F.pow(F.lit(2.0), h).cast("bigint")
+    low, high = lambda h: F.ceil((F.col("upto") - F.col("c")) / size(h)), lambda h: F.floor(F.col("upto") / size(h))
+    piece = lambda h, at, odd: F.when((low(h) < high(h)) & (odd % 2 == 1), F.struct(h.alias("h"), at.cast("bigint").alias("piece")))
+    pieces = F.filter(F.flatten(F.transform(powers, lambda h: F.array(piece(h, low(h), low(h)), piece(h, high(h) - 1, high(h))))), lambda p: p.isNotNull())
+    held = ordered.select("f", "bin", "v", F.explode(pieces).alias("p")).select("f", "bin", "v", "p.h", "p.piece")
+    sought = wanted.withColumn("h", F.explode(powers)).withColumn("piece", F.floor(F.col("at") / size(F.col("h"))))
+    return sought.join(held, ["f", "bin", "h", "piece"]).drop("h", "piece")
