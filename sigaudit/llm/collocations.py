@@ -27,6 +27,8 @@ LONGEST, LEAST, BEST = 4, 30, 2000
 BURST, HELD, WORDS = 1 << 17, 3 << 20, 1 << 20
 #: Bits of the filter of frequent phrases, as a power of two.
 FILTER = 26
+#: Bytes of text that are coded at a time.
+SLICE = 2 << 20
 UNKNOWN = "und"
 #: A-Z lowered, tab as space, and everything that ends a piece as a byte that UTF-8 never has.
 _BREAK = b"\xff"
@@ -40,7 +42,7 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 class ArrayHash:
     """A hash table in arrays: 64-bit keys by open addressing, each with a number. Keys are below the largest one."""
 
-    def __init__(self, size: int = 1 << 10):
+    def __init__(self, size: int = 1 << 14):
         self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int64), 0
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ class ArrayHash:
 
     def _grow(self) -> None:
         keys, values = self.items()
-        self.__init__(8 * len(self.keys))
+        self.__init__(4 * len(self.keys))
         slot = self.slots(keys)
         self.values[slot] = values
 
@@ -251,11 +253,12 @@ class Tries:
                     key, f = keys[lo : lo + (1 << 17)], counts[lo : lo + (1 << 17)]
                     first, last = part_of(key, 0), part_of(key, 1)
                     if size > 2:
-                        ends = part_of(pair[last], 0), part_of(pair[last], 1)
-                        parts = [part_of(pair[first], 0), part_of(pair[first], 1), *ends[4 - size :]]
+                        both = part_of(pair[last], 0), part_of(pair[last], 1)
+                        parts = [part_of(pair[first], 0), part_of(pair[first], 1), *both[4 - size :]]
                     else:
                         parts = [first, last][:size]
-                    order = np.lexsort([rank[p] for p in reversed(parts)])
+                    ends = [(rank[a] << 32) | rank[b] for a, b in zip(parts[::2], [*parts[1::2], *([np.zeros(len(key), np.int64)] * (size % 2))], strict=True)]
+                    order = np.argsort(ends[0]) if size < 3 else np.lexsort(ends[::-1])
                     spelled = [words.take(pa.array(p[order])) for p in parts]
                     phrase = spelled[0] if size == 1 else pa.compute.binary_join_element_wise(*spelled, b" ")
                     n = len(order)
@@ -317,7 +320,7 @@ def counted(texts: DataFrame, sizes: tuple[int, ...], kept=None, burst: int = BU
         for batch in batches:
             raw, at = utf8(batch.column(1))
             names = batch.column(0).to_pylist()
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, SLICE):
                 by: dict[str, list[bytes]] = {}
                 for i in range(lo, hi):
                     by.setdefault(names[i], []).append(raw[at[i] : at[i + 1]].tobytes())
