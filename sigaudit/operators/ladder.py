@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import draw
+from ..functions.rng import bits, draw
 from ..schemas import NULL_RUNGS, RUNGS, feature_columns
 from . import frame, publish, surrogates
 
@@ -100,6 +100,16 @@ def _noise(windows: DataFrame, rung: str, moments: dict[str, tuple[float, float]
     return windows.mapInArrow(run, windows.schema)
 
 
+def portable_noise(windows: DataFrame, moments: dict[str, tuple[float, float]], seed: int) -> DataFrame:
+    """Gaussian channels from draws that are the same on any engine: two md5 draws a sample, made normal by their polar angle."""
+    mean = F.create_map(*(F.lit(x) for name, (m, _) in moments.items() for x in (name, float(m)))) if moments else F.create_map().cast("map<string,double>")
+    spread = F.create_map(*(F.lit(x) for name, (_, v) in moments.items() for x in (name, float(np.sqrt(v))))) if moments else F.create_map().cast("map<string,double>")
+    share = lambda k, i, which: (bits(seed, F.col("window_id"), k, i, which) + 0.5) / 4294967296.0
+    normal = lambda k, i: F.sqrt(-2.0 * F.log(share(k, i, "r"))) * F.cos(F.lit(2 * np.pi) * share(k, i, "a"))
+    made = F.transform_values("channels", lambda k, x: F.transform(x, lambda v, i: F.try_element_at(mean, k) + F.try_element_at(spread, k) * normal(k, i)))
+    return windows.withColumn("channels", made)
+
+
 def checked(made: DataFrame, windows: DataFrame) -> DataFrame:
     """made, with a job that fails at the first row whose channels, lengths or samples are not fit to stand for its window's: other
     channels, another length, a sample that is missing or not finite."""
@@ -113,9 +123,10 @@ def checked(made: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.where(guard).select(*made.columns)
 
 
-def apply_surrogate(windows: DataFrame, rung: str, seed: int) -> DataFrame | None:
+def apply_surrogate(windows: DataFrame, rung: str, seed: int, portable: bool = False) -> DataFrame | None:
     """The windows with the channels of a rung, or None for `deleted`, which has no signal. Every rung keeps ids, labels, channels and
-    lengths; the result is checked for that as it is computed. An empty table gives an empty one. Raises for an unknown rung."""
+    lengths; the result is checked for that as it is computed. An empty table gives an empty one. portable: noise by portable_noise() and
+    not by a numpy stream. Raises for an unknown rung."""
     if rung not in RUNGS:
         raise ValueError(f"unknown rung {rung}")
     if rung == "deleted":
@@ -130,6 +141,8 @@ def apply_surrogate(windows: DataFrame, rung: str, seed: int) -> DataFrame | Non
     if rung == "flatline":
         means = F.create_map(*(F.lit(v) for name, (mean, _) in moments.items() for v in (name, mean))) if moments else F.create_map().cast("map<string,double>")
         return windows.withColumn("channels", F.transform_values("channels", lambda k, x: F.array_repeat(F.try_element_at(means, k), F.size(x))))
+    if rung == "gaussian" and portable:
+        return checked(portable_noise(windows, moments, seed), windows)
     return checked(_noise(windows, rung, moments, seed), windows)
 
 

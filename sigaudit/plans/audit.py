@@ -241,21 +241,18 @@ _COLUMNS = "f_mean f_sd f_median f_step f_max".split()
 _PHRASES = {"f_mean": "up_f_mean", "f_median": "up_f_median", "f_sd": "1 - up_f_sd", "f_step": "1 - up_f_step"}
 
 
-def _phrases(view: str) -> str:
-    some = [_PHRASES[c] for c in VIEWS[view] if c in _PHRASES]
+def _phrases(features, phrases: dict[str, str]) -> str:
+    some = [phrases[c] for c in features if c in phrases]
     return " + ".join(f"coalesce({x}, 0)" for x in some) + " as p, " + " + ".join(f"coalesce(1 - ({x}), 0)" for x in some) + " as q"
 
 
-EVAL = MATRIX + ", " + _donors("b", c="", p="", j="") + ", " + _donors("k", c="y,", p="partition by y", j="and w.y = p.y") + f""",
-long as (select 'real' as signal, subject, window_id, y, {', '.join(_COLUMNS)} from fm
- union all select 'flatline', subject, window_id, y, {', '.join(f'(select avg({c}) from fm)' for c in _COLUMNS)} from fm
- union all select 'subject_perm_broken', f.subject, f.window_id, f.y, {', '.join('g.' + c for c in _COLUMNS)} from fm f left join pairs_b p on f.window_id = p.window_id left join fm g on g.window_id = p.donor
- union all select 'subject_perm_preserved', f.subject, f.window_id, f.y, {', '.join('g.' + c for c in _COLUMNS)} from fm f left join pairs_k p on f.window_id = p.window_id left join fm g on g.window_id = p.donor),
-lmed as (select a.signal, a.subject, {', '.join(f'quantile_cont(b.{c}, 0.5) as m_{c}' for c in _COLUMNS)} from (select distinct signal, subject from long) a join long b on a.signal = b.signal and a.subject <> b.subject group by 1, 2),
-ups as (select l.signal, l.subject, l.window_id, l.y, {', '.join(f'case when {c} is not null then cast(coalesce({c} > m_{c}, false) as int) end as up_{c}' for c in _COLUMNS)} from long l left join lmed using (signal, subject)),
-spoken as ({' union all '.join(f"select '{v}' as setup, signal, subject, window_id, y, {_phrases(v)} from ups" for v in VIEWS)}),
+def evaluated(columns: list[str], views: dict, phrases: dict[str, str], base: str) -> str:
+    """From the features of all signals (long) to cells with their intervals; base: the table of all subjects."""
+    return f"""lmed as (select a.signal, a.subject, {', '.join(f'quantile_cont(b.{c}, 0.5) as m_{c}' for c in columns)} from (select distinct signal, subject from long) a join long b on a.signal = b.signal and a.subject <> b.subject group by 1, 2),
+ups as (select l.signal, l.subject, l.window_id, l.y, {', '.join(f'case when {c} is not null then cast(coalesce({c} > m_{c}, false) as int) end as up_{c}' for c in columns)} from long l left join lmed using (signal, subject)),
+spoken as ({' union all '.join(f"select '{v}' as setup, signal, subject, window_id, y, {_phrases(views[v], phrases)} from ups" for v in views)}),
 full_ as (select * from spoken union all select setup, 'deleted', subject, window_id, y, 0, 0 from spoken where signal = 'real' union all select setup, 'real:ii', subject, window_id, y, 0, 0 from spoken where signal = 'real' union all select setup, 'real:iii', subject, window_id, y, q, p from spoken where signal = 'real'),
-ranked as (select subject, row_number() over (order by {bits('1337', 'subject')}, subject) as place from (select distinct subject from fm)),
+ranked as (select subject, row_number() over (order by {bits('1337', 'subject')}, subject) as place from (select distinct subject from {base})),
 dev as (select subject from ranked where place <= 2),
 every as (select *, cast(p > q as int) as yhat, round(ln((p + 1) / (p + q + 2.0::double)) - ln((q + 1) / (p + q + 2.0::double)), 9) as m from full_),
 scored as (select * from every where subject not in (select subject from dev)),
@@ -267,10 +264,23 @@ draws as (select setup, signal, rep, {bits('1337', 'rep', 'k')} % n_keys as idx
 ci as (select setup, signal, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi from (select setup, signal, {f1()} as v from (select setup, signal, rep, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tn) as tn from draws join idx using (setup, signal, idx) group by 1, 2, 3)) group by 1, 2)"""
 
 
-GATE = EVAL + ", real_ as (select * from st where signal = 'real'), " + floor_sql("real_", "setup") + """,
+EVAL = MATRIX + ", " + _donors("b", c="", p="", j="") + ", " + _donors("k", c="y,", p="partition by y", j="and w.y = p.y") + f""",
+long as (select 'real' as signal, subject, window_id, y, {', '.join(_COLUMNS)} from fm
+ union all select 'flatline', subject, window_id, y, {', '.join(f'(select avg({c}) from fm)' for c in _COLUMNS)} from fm
+ union all select 'subject_perm_broken', f.subject, f.window_id, f.y, {', '.join('g.' + c for c in _COLUMNS)} from fm f left join pairs_b p on f.window_id = p.window_id left join fm g on g.window_id = p.donor
+ union all select 'subject_perm_preserved', f.subject, f.window_id, f.y, {', '.join('g.' + c for c in _COLUMNS)} from fm f left join pairs_k p on f.window_id = p.window_id left join fm g on g.window_id = p.donor),
+""" + evaluated(_COLUMNS, VIEWS, _PHRASES, "fm")
+
+
+def gated(evaluated_: str) -> str:
+    """Cells and their gates and rungs."""
+    return evaluated_ + ", real_ as (select * from st where signal = 'real'), " + floor_sql("real_", "setup") + """,
 gate as (select c.setup, c.macro_f1, c.ba, ci.ci_lo, fl.floor_mean as chance, fl.floor_mean, fl.floor_p95 from cell c join ci using (setup, signal) join fl using (setup) where signal = 'real'),
 names as (select unnest(['gaussian', 'iaaft', 'subject_perm_broken', 'flatline', 'deleted', 'subject_perm_preserved']) as rung),
 rungs as (select s.setup, names.rung, names.rung <> 'subject_perm_preserved' as is_null, c.macro_f1 as macro_f1_surr, c.ba as ba_surr from (select distinct setup from cell) s cross join names left join cell c on c.setup = s.setup and c.signal = names.rung)"""
+
+
+GATE = gated(EVAL)
 #: erfc by a rational approximation, good to 1.5e-7 (fixed values).
 _T = "(1 / (1 + 0.3275911 * x))"
 ERFC = f"({_T} * (0.254829592 + {_T} * (-0.284496736 + {_T} * (1.421413741 + {_T} * (-1.453152027 + {_T} * 1.061405429)))) * exp(-x * x))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, oracle, queries, signals
+from . import audit, decisive, oracle, queries, signals
 
-QUERIES = queries.QUERIES | audit.QUERIES | signals.QUERIES
-SQL = oracle.SQL | audit.SQL | signals.SQL
+QUERIES = queries.QUERIES | audit.QUERIES | signals.QUERIES | decisive.QUERIES
+SQL = oracle.SQL | audit.SQL | signals.SQL | decisive.SQL

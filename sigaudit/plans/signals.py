@@ -157,8 +157,8 @@ own as (select *, min(spot) over (partition by {keys + ', ' if keys else ''}subj
 drawn as (select *, {bits("1337", "window_id")} % (every - own) as d from own),
 pairs as (select w.window_id, p.window_id as donor from (select window_id, y, case when d < a then d else d + own end as want from drawn) w join placed p on w.want = p.spot {same}),
 given as (select u.window_id, u.channel, len(u.x) as n, g.x from uneq u join pairs using (window_id) join uneq g on g.window_id = pairs.donor and g.channel = u.channel),
-moved as (select window_id, channel, n, case when len(x) = n then x else list_transform(range(0, n), lambda j: x[cast(floor(j * (len(x) - 1) / (n - 1)::double) as int) + 1]
-  + (j * (len(x) - 1) / (n - 1)::double - floor(j * (len(x) - 1) / (n - 1)::double)) * (x[least(cast(floor(j * (len(x) - 1) / (n - 1)::double) as int) + 1, len(x) - 1) + 1] - x[cast(floor(j * (len(x) - 1) / (n - 1)::double) as int) + 1])) end as x from given)"""
+moved as (select window_id, channel, n, case when len(x) = n then x else list_transform(range(0, n), lambda j: x[cast(floor(j * (len(x) - 1) / greatest(n - 1, 1)::double) as int) + 1]
+  + (j * (len(x) - 1) / greatest(n - 1, 1)::double - floor(j * (len(x) - 1) / greatest(n - 1, 1)::double)) * (x[least(cast(floor(j * (len(x) - 1) / greatest(n - 1, 1)::double) as int) + 1, len(x) - 1) + 1] - x[cast(floor(j * (len(x) - 1) / greatest(n - 1, 1)::double) as int) + 1])) end as x from given)"""
 
 
 _TOLD = "cast(len(x) as int) as n, round(list_avg(x), 6) as mean, round(list_stddev_pop(x), 6) as sd"
