@@ -24,6 +24,8 @@ SAMPLE, BUCKETS, DIMENSIONS, GRAMS = 3000, 1 << 14, 8, (3, 5)
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 500, 32, 200.0, 7
 #: Predicted 1 from this score on.
 CUT = 0.3
+#: Bytes of text whose features a scoring task holds at a time.
+SCORED = 1 << 18
 #: The slot of a pair of equal words.
 SAME = 0
 
@@ -148,7 +150,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             raw, at = utf8(batch.column(place))
             out = []
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, SCORED):
                 total, n = np.zeros(hi - lo), np.zeros(hi - lo)
                 for s, (a, z) in features(raw, at[lo : hi + 1]):
                     c = np.concatenate([[0.0], np.cumsum(w[s])])
