@@ -48,7 +48,9 @@ def features(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     if len(h) > 1:
         pair = slot(mix(h[:-1] * np.uint64(3) + h[1:]))
         pair[h[:-1] == h[1:]] = SAME
-        out.append((pair, np.stack([first[:-1], np.maximum(first[1:] - 1, first[:-1])])))
+        # a text without words at the end begins beyond the last pair
+        from_ = np.minimum(first[:-1], len(pair))
+        out.append((pair, np.stack([from_, np.clip(first[1:] - 1, from_, len(pair))])))
     points, first = code_points(b, at)
     for k in GRAMS:
         if len(points) >= k:
