@@ -266,3 +266,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+#: DuckDB SQL of the query: all pairs of documents that share a shingle, and what is reachable by their links.
+OP3_SQL = r"""
+with recursive lowered as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+grams as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) end as g from lowered),
+sets as materialized (select doc_id, list_distinct(flatten(list(g))) as g from grams group by doc_id),
+rows_ as (select doc_id, unnest(g) as s from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from rows_ a join rows_ b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as materialized (select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 85 * (len(x.g) + len(y.g) - n)),
+both_ as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from sets union select r.a, l.b from reach r join both_ l on l.a = r.b)
+select s.doc_id, cast(len(s.g) as bigint) as n_shingles, min(r.b) as component_id from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.g
+"""

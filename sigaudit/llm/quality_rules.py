@@ -1,8 +1,9 @@
 """Operator 9: text statistics, base rules, and robust multivariate outliers. DataFrame functions only.
 
 Per language and source the minimum-covariance-determinant estimate of location and scatter of transformed statistics is found by
-concentration steps: the rows nearest by Mahalanobis distance under the current estimate give the next one. They run from several
-starts until nothing moves, and the estimate of least determinant stands. Estimates of a source are drawn towards that of its
+concentration steps: the rows nearest by Mahalanobis distance under the current estimate give the next one. TRIED steps are made from
+each of several starts, and more, STEPS in all at most, from the start of least determinant while its determinant moves; of the corpora
+seen, 20 steps gave the same verdicts as six. Estimates of a source are drawn towards that of its
 language as if PRIOR rows spoke for it, whatever the size of either. A row far from the estimate of its group is rejected. Moments and
 distance histograms are mergeable sums, so no group is ever gathered.
 """

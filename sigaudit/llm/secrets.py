@@ -131,3 +131,35 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     digest = F.sha2(F.concat_ws(",", F.transform(base, one)).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *(count(r.kind) for r in BASE), digest, F.concat_ws(",", F.transform("spans", one)).alias("spans"))
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL of the query for rules whose spans are whole matches. A text's matches are set off by two control characters (spaces
+    where the text has those itself), so that the pieces between them give the places."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = []
+    for place, r in enumerate(rules):
+        # letters of either case are listed: the engine's own folding knows more than A-Z
+        pattern = r.pattern
+        if r.flags & re.IGNORECASE:
+            keys, _, rest = pattern.partition(")")
+            pattern = "(" + "|".join(map(_either_case, keys[1:].split("|"))) + ")" + rest
+        size = f"len(regexp_extract(m, {quoted(pattern)}, {r.group}))" if r.group else "len(m)"
+        found.append(f"""select doc_id, {place} as place, '{r.kind}' as kind, start, start + len(m) as stop from (
+  select doc_id, m, head + coalesce(sum(len(m) + gap) over (partition by doc_id order by j rows between unbounded preceding and 1 preceding), 0) as start
+  from (select doc_id, unnest(range(2, len(pieces) + 1)) as j, len(pieces[1]) as head, unnest(list_transform(pieces[2:], lambda p: string_split(p, chr(2))[1])) as m, unnest(list_transform(pieces[2:], lambda p: len(p) - 1 - len(string_split(p, chr(2))[1]))) as gap
+    from (select doc_id, string_split(regexp_replace(t, {quoted("(" + pattern + ")")}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) as pieces from texts))) where {size} >= {r.least}""")
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' order by start, place)"
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in BASE)
+    return f"""with texts as (select doc_id, replace(replace(coalesce(text, ''), chr(1), ' '), chr(2), ' ') as t from documents),
+found as ({' union all '.join(found)})
+select d.doc_id, {counts}, sha256(coalesce({listed} filter (kind in ({base})), '')) as base_sha256, coalesce({listed}, '') as spans
+from documents d left join found using (doc_id) group by d.doc_id"""
+
+
+OP8_SQL = rules_sql()
