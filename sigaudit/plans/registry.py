@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decisive, oracle, queries, signals
+from . import audit, decisive, oracle, queries, signals, winning
 
-QUERIES = queries.QUERIES | audit.QUERIES | signals.QUERIES | decisive.QUERIES
-SQL = oracle.SQL | audit.SQL | signals.SQL | decisive.SQL
+QUERIES = queries.QUERIES | audit.QUERIES | signals.QUERIES | decisive.QUERIES | winning.QUERIES
+SQL = oracle.SQL | audit.SQL | signals.SQL | decisive.SQL | winning.SQL
