@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,40 @@ def test_ledger_scores_every_rung_with_all_steps(spark, small):
     moved = surrogates.permuted(w, surrogates.donors(w, queries.SEED, False), ["x"])
     p = models.loso_logreg(queries._sig_features(moved), queries.SIG_FEATURES)
     assert abs(whole.macro_f1["subject_perm_broken"] - score(p)) < 1e-12
+
+
+def _cells(spark, sizes):
+    rng = np.random.default_rng(3)
+    rows = [(c, f"s{i}", *map(int, rng.integers(0, 6, 4))) for c, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(rows, "cell string, subject string, tp bigint, fp bigint, fn bigint, tn bigint").repartition(3)
+
+
+def test_bootstrap_of_cells_deals_each_draw_once(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PLACE_BLOCK", 7)
+    monkeypatch.setattr(metrics, "REP_BLOCK", 4)
+    stats, names, reps = _cells(spark, {"a": 30, "b": 30, "c": 1, "d": 8}), ["tp", "fp", "fn", "tn"], 9
+    got = {(r["cell"], r["rep"]): [r[c] for c in names] for r in metrics.bootstrap_by(stats, ["cell"], names, reps, 5).collect()}
+    frame = stats.toPandas().sort_values(["cell", "subject"])
+    for cell, own in frame.groupby("cell"):
+        x, n = own[names].to_numpy(), len(own)
+        for rep in range(reps):
+            at = [int(hashlib.md5(f"5:{rep}:{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)]
+            assert got.pop((cell, rep)) == x[at].sum(axis=0).tolist()
+    assert not got
+    places = metrics._drawn_places(spark.createDataFrame([(30,), (8,)], "n_keys bigint"), reps, 5)
+    assert sum(len(r["places"]) // 4 for r in places.collect()) == reps * (30 + 8)  # cells of one size share their draws
+
+
+def test_floor_sends_sums_of_tasks_and_not_draws(spark):
+    counts = _cells(spark, {"a": 40, "b": 40})
+    floor = metrics.matched_floor(counts, ["cell"], 20, 5)
+    assert "ArrowEvalPython" not in floor._jdf.queryExecution().executedPlan().toString()  # draws of a subject stay in their task
+    got = {r["cell"]: r["floor_mean"] for r in floor.collect()}
+    for cell, own in counts.toPandas().groupby("cell"):
+        sums = np.zeros((20, 4))
+        for r in own.itertuples():
+            u = np.array([int(hashlib.md5(f"5:{i}:{r.subject}".encode()).hexdigest()[:8], 16) for i in range(20)])
+            hit = metrics.hypergeometric_draws(r.tp + r.fp + r.fn + r.tn, r.tp + r.fn, r.tp + r.fp, (u + 0.5) / 2.0**32)
+            sums += np.stack([hit, r.fp + r.tp - hit, r.fn + r.tp - hit, r.tn - r.tp + hit], axis=1)
+        tp, fp, fn, tn = sums.T
+        assert got[cell] == pytest.approx(np.mean(tp / (2 * tp + fp + fn) + tn / (2 * tn + fp + fn)))
