@@ -170,3 +170,19 @@ def test_floor_sends_sums_of_tasks_and_not_draws(spark):
             sums += np.stack([hit, r.fp + r.tp - hit, r.fn + r.tp - hit, r.tn - r.tp + hit], axis=1)
         tp, fp, fn, tn = sums.T
         assert got[cell] == pytest.approx(np.mean(tp / (2 * tp + fp + fn) + tn / (2 * tn + fp + fn)))
+
+
+def test_regression_meets_a_few_folds_at_a_time_and_stops_when_still(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"s{i % 5}", f"w{i:03}", int(rng.random() < 0.4), float(rng.normal()), float(rng.normal()) if i % 7 else None) for i in range(100)], "subject string, window_id string, y int, f1 double, f2 double")
+    scores = lambda: {r["window_id"]: r["score"] for r in models.loso_logreg(rows, ["f1", "f2"]).collect()}
+    whole, seen, given = scores(), [], models.passed
+    monkeypatch.setattr(models, "FOLDS", 2)
+    monkeypatch.setattr(models, "passed", lambda *a: seen.append(given(*a)) or seen[-1])
+    assert scores() == pytest.approx(whole, abs=1e-9)
+    assert set(seen[0]) == {0, 1, 2} and len(seen) < 8
+
+
+def test_folds_of_equal_splits_share_a_pass():
+    one, two = ([np.array([1])], [np.array([3])]), ([np.array([1])], [np.array([4])])
+    assert models.Tree.alike([one, two, one]) == [[0, 2], [1]]
