@@ -90,13 +90,13 @@ def registry(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return raw.select(get("kind").alias("kind"), get("key").alias("key"), get("sha256").alias("sha256"), get("n_rows").cast("bigint").alias("n_rows"), get("created_utc").alias("created_utc"))
 
 
-def lookup(wanted: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+def lookup(wanted: DataFrame, entries: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """wanted with the columns of the one entry of its keys. The job fails at the first row whose keys have no entry, or more than one;
-    null keys have none."""
+    null keys have none. few: the entries go to the rows, which are not dealt by key."""
     values = [c for c in entries.columns if c not in keys]
     one = entries.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by(F.struct(*values), F.lit(0)).alias("_v"))
     named = F.to_json(F.struct(*(F.col(k) for k in keys)), {"ignoreNullFields": "false"})
-    joined = wanted.join(one, keys, "left")
+    joined = wanted.join(F.broadcast(one) if few else one, keys, "left")
     bad = F.when(F.col("_n").isNull(), F.concat(F.lit("no entry for "), named)).when(F.col("_n") > 1, F.concat(F.col("_n").cast("string"), F.lit(" entries for "), named))
     guard = F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True))
     return joined.where(guard).select(*wanted.columns, *(F.col(f"_v.{c}").alias(c) for c in values))

@@ -34,8 +34,8 @@ def exemplar_lists(pool: DataFrame, keys: list[str], order: list[str], most: int
 def prompts_of_winners(rows: DataFrame, winners: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
     """rows (keys, body and more) with template_id, n_shot and prompt, by the one winner (keys, template_id, n_shot) and the exemplars
     (keys, shown) of their keys. Raises, as a job, where a key has no winner or two, a template is unknown, or there are fewer exemplars than
-    the winner has shots."""
-    own = locks.lookup(rows, winners.select(*keys, "template_id", "n_shot"), keys).join(shown.select(*keys, "shown"), keys, "left")
+    the winner has shots. The exemplars, a few a key, go to the rows, which are not dealt by key: a key may hold a quarter of them."""
+    own = locks.lookup(rows, winners.select(*keys, "template_id", "n_shot"), keys, few=True).join(F.broadcast(shown.select(*keys, "shown")), keys, "left")
     have = F.coalesce(F.size("shown"), F.lit(0))
     few = F.concat(F.lit("too few exemplars for "), F.to_json(F.struct(*keys)))
     taken = F.when(F.col("n_shot") == 0, F.array().cast(EXAMPLES)).when(have < F.col("n_shot"), F.raise_error(few).cast(EXAMPLES)).otherwise(F.slice("shown", F.lit(1), F.col("n_shot")))

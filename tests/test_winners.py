@@ -45,3 +45,12 @@ def test_scorer_reads_the_exemplars(spark):
     a, b = score(["x\nExamples:\nred blue\nAnswer: A\ngreen\nAnswer: B\n\nred blue sky\nAnswer:"])[0]
     assert a > b and score(["x\nred\nAnswer:"])[0] == score(["y\nAnswer:"])[0]
     assert scored.where(F.col("n_shot") == 4).count() == 2
+
+
+def test_rows_are_not_dealt_by_key(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = winners.prompts_of_winners(*tables(spark, [("p", "clinical", 2), ("q", "minimal", 0)]), ["dataset"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
