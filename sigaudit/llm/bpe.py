@@ -16,6 +16,8 @@ import ahocorasick
 import numpy as np
 import regex
 
+from .common import kept
+
 #: The split pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII and Latin letters only: the plain engine is faster.
@@ -179,11 +181,8 @@ class LibraryCodec(Codec):
         return [t.id for t in self._model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._shown))]
 
 
-_codecs: dict[tuple[type, str], Codec] = {}
-
-
 def codec(path: str, kind: type = Codec) -> Codec:
     """One codec a worker process and file."""
-    if (kind, path) not in _codecs:
-        _codecs[kind, path] = kind(path)
-    return _codecs[kind, path]
+    if (kind, path) not in kept:
+        kept[kind, path] = kind(path)
+    return kept[kind, path]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,43 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+#: What a worker process keeps from one task to the next of a step, such as a tokenizer.
+kept: dict[tuple, object] = {}
+
+
+def _trim() -> None:
+    """Memory that the C library holds and nothing uses goes back to the system, where it can do that."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _forget() -> None:
+    if kept:
+        kept.clear()
+        _trim()
+
+
+def lean(run: Run, keeps: bool = False) -> Run:
+    """run, which works on the batches of a task, so that a worker, which outlives its task and serves all steps, holds little beside
+    what run uses: what Arrow's allocator has left over goes back after each batch, what the C library has at the end, and what
+    another step kept goes at the start (unless run is one that keeps something)."""
+
+    @functools.wraps(run)
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _forget()
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        _trim()
+
+    return released
+
+
 def save(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as a table in the shared folder and read again, and its path. Shuffle files of finished jobs go only when the driver's
     JVM collects its garbage, which an idle driver may put off for half an hour while the executors' disks fill: so that is asked for."""

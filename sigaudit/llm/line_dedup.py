@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bound_batches, table
+from .common import bound_batches, lean, table
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -43,7 +43,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, key binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, key binary")
 
 
 def without_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -65,7 +65,7 @@ def without_lines(docs: DataFrame, min_chars: int) -> DataFrame:
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64())]))], names=[*batch.schema.names[:-1], "line_counts"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

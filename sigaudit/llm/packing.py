@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LibraryCodec, codec
 from .bpe_coding import tokenizer_path
-from .common import bound_batches, save, table
+from .common import bound_batches, lean, save, table
 
 LENGTH, END_ID = 1024, 2
 #: Patterns of three lengths in the fit, at most (the most frequent lengths first; the others are residuals and are packed best-fit);
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 7 + ids]], names)
 
     kind = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, number bigint" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.spark_partition_id()).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.spark_partition_id()).mapInArrow(lean(run, keeps=True), kind)
 
 
 def patterns(count: np.ndarray, length: int) -> np.ndarray:

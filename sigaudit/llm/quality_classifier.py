@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bound_batches, held_out, slices, table, utf8
+from .common import bound_batches, held_out, lean, slices, table, utf8
 from .words import hashes, mix, spans
 
 #: Labelled documents that training uses at most (those of the smallest id hashes), vectors, their length, code points of an n-gram.
@@ -24,7 +24,7 @@ SAMPLE, BUCKETS, DIMENSIONS, GRAMS = 3000, 1 << 14, 8, (3, 5)
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 500, 32, 200.0, 7
 #: Predicted 1 from this score on.
 CUT = 0.3
-#: Bytes of text whose features a scoring task holds at a time.
+#: Bytes of text whose features a task holds at a time.
 SCORED = 1 << 18
 #: The slot of a pair of equal words.
 SAME = 0
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(2))
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, SCORED):
                 kinds = features(raw, at[lo : hi + 1])
                 packed = []
                 for i in range(hi - lo):
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
     # the chosen ids are bounded by sample, so they may be broadcast
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text")
-    found = rows.mapInArrow(run, "doc_id bigint, label int, packed binary")
+    found = rows.mapInArrow(lean(run), "doc_id bigint, label int, packed binary")
     # of rows with one id the one of fewest features; six bytes a feature, a partition at a time
     kept: dict[int, tuple[int, bytes]] = {}
     for r in found.toLocalIterator():
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", cut: float = CUT) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, table, utf8
+from .common import bound_batches, lean, slices, table, utf8
 from .trigrams import Segment, query_of, trigrams_in
 
 
@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 found = [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in x] for x in scanner.spans(texts, raw, at[lo : hi + 1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["doc_id", "text", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, text string, spans array<struct<kind string, start int, end int>>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, text string, spans array<struct<kind string, start int, end int>>")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -121,7 +121,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 columns[n] = pa.array([None if x is None else len(x) for x in done], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,19 @@ leaves below both already belong to one component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FANOUT = 8
-#: Pairs of nodes tested at a time.
-CHUNK = 1 << 14
+#: Pairs of nodes tested at a time, and bytes of bitmaps that they may have on one side: wide bitmaps are tested in fewer pairs.
+CHUNK, CHUNK_BYTES = 1 << 14, 1 << 22
+
+
+def chunks(n: int, row_bytes: int) -> Iterator[slice]:
+    """Ranges of n pairs whose bitmaps of row_bytes each are compared at a time."""
+    step = max(1, min(CHUNK, CHUNK_BYTES // max(row_bytes, 1)))
+    return (slice(k, k + step) for k in range(0, n, step))
 
 
 def _levels(bits, low, high, excess, comp):
@@ -33,8 +41,8 @@ def _possible(level, i, j, percent, exact=False):
     ok &= ~((comp[i] == comp[j]) & (comp[i] >= 0))
     ok &= (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
     at = np.flatnonzero(ok)
-    for k in range(0, len(at), CHUNK):
-        part = at[k : k + CHUNK]
+    for c in chunks(len(at), bits.shape[1] * 8):
+        part = at[c]
         a, b = i[part], j[part]
         most = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(excess[a], excess[b])
         ok[part] = (100 + percent) * most >= percent * (low[a] + low[b]) if exact else 100 * most >= percent * np.maximum(low[a], low[b])
@@ -73,13 +81,19 @@ def tree_pairs(bits: np.ndarray, sizes: np.ndarray, near: np.ndarray, comp: np.n
     over = n - np.bitwise_count(leaves).sum(axis=1, dtype=np.int64) if excess is None else excess[order]
     levels = _levels(leaves, n, n, over, comp[order])
     i = j = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, 0, -1):
-        ok = _possible(levels[depth], i, j, percent)
-        i, j = _children(i[ok], j[ok], len(levels[depth - 1][1]))
-    keep = i < j
-    i, j = i[keep], j[keep]
-    ok = _possible(levels[0], i, j, percent, exact=excess is not None)
-    return order[i[ok]], order[j[ok]]
+    ok = _possible(levels[-1], i, j, percent)
+    i, j = i[ok], j[ok]
+    for depth in range(len(levels) - 2, -1, -1):
+        # children are tested as they are made: only those that may hold a link are kept
+        found = []
+        for k in range(0, len(i), CHUNK // FANOUT):
+            a, b = _children(i[k : k + CHUNK // FANOUT], j[k : k + CHUNK // FANOUT], len(levels[depth][1]))
+            if depth == 0:
+                a, b = a[a < b], b[a < b]
+            ok = _possible(levels[depth], a, b, percent, exact=depth == 0 and excess is not None)
+            found.append((a[ok], b[ok]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (i, j)
+    return order[i], order[j]
 
 
 #: Bytes of the exact bitmaps of one block.
