@@ -44,3 +44,14 @@ def test_bracket_lists(spark):
     rows = [("[Steps]: [1, 2,]",), ("[1, , 2] [Steps]: [1, , 2]",), ("[Steps]: [ , ]",), ("[Steps]: []",), ("none",), (None,), ("[Steps]: [1.5, x, -2e1]",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.bracket_list(F.col("t"), "Steps")).collect()]
     assert got == [[1.0, 2.0], [1.0, 2.0], None, None, None, None, [1.5, None, -20.0]]
+
+
+def test_votes_and_texts_share_the_medians(spark, small, monkeypatch):
+    from sigaudit.plans import audit
+
+    seen, given = [], ranks.binned
+    monkeypatch.setattr(ranks, "binned", lambda *a: seen.append(a[1]) or given(*a))
+    out = audit.vote_vs_model(spark, small)
+    assert seen == [[f"{c}__real" for c in audit.FEATURES]]  # once for both
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "pythonUDF" not in plan  # one saved table, met twice; nothing is scored or looked up again
