@@ -186,3 +186,50 @@ def test_regression_meets_a_few_folds_at_a_time_and_stops_when_still(spark, monk
 def test_folds_of_equal_splits_share_a_pass():
     one, two = ([np.array([1])], [np.array([3])]), ([np.array([1])], [np.array([4])])
     assert models.Tree.alike([one, two, one]) == [[0, 2], [1]]
+
+
+def _many_subjects(spark, n=600):
+    """Four rows a subject, gaps among them; of one subject 150 rows far from all others'."""
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i % n:03}", f"w{i:05}", int(rng.random() < 0.4), float(rng.normal()), float(rng.exponential()) if i % 7 else None) for i in range(4 * n)]
+    rows += [("far", f"x{i:05}", i % 2, float(5 * rng.normal() + 8 * (i % 2)), float(6 * rng.exponential())) for i in range(150)]
+    return spark.createDataFrame(rows, "subject string, window_id string, y int, f1 double, f2 double")
+
+
+def test_many_folds_meet_their_own_rows_only(spark, monkeypatch):
+    rows, works, given = _many_subjects(spark), [], models.passed
+    monkeypatch.setattr(models, "passed", lambda d, work, reps: works.append(work) or given(d, work, reps))
+    near = {r["window_id"]: r["score"] for r in models.loso_logreg(rows, ["f1", "f2"]).collect()}
+    block = models.Block(np.zeros(3, np.int64), np.zeros((3, 1), int), np.ones((3, 2)))
+    assert max(sum(1 for _ in work(block)) for work in works) == 1  # of 601 folds in three blocks
+    monkeypatch.setattr(models, "MANY", 10_000)
+    assert near == pytest.approx({r["window_id"]: r["score"] for r in models.loso_logreg(rows, ["f1", "f2"]).collect()}, abs=1e-9)
+
+
+def test_folds_far_from_the_whole_meet_all_rows(spark, monkeypatch):
+    far, given = [], models.Logistic._near
+
+    def near(self, w):
+        far.append((yield from given(self, w)))
+        return far[-1]
+
+    monkeypatch.setattr(models.Logistic, "_near", near)
+    views = {"both": ["f2", "f1"], "one": ["f1"]}
+    got = {(r["view"], r["window_id"]): r["score"] for r in models.loso_logregs(_many_subjects(spark), views).collect()}
+    assert all(0 in f and len(f) < 300 for f in far) and len(far) == 2  # 'far' is the first subject
+    monkeypatch.setattr(models, "MANY", 10_000)
+    for view, names in views.items():
+        want = {(view, r["window_id"]): r["score"] for r in models.loso_logreg(_many_subjects(spark), names).collect()}
+        assert {k: v for k, v in got.items() if k[0] == view} == pytest.approx(want, abs=1e-9)
+
+
+def test_series_is_the_sum_up_to_its_bound():
+    rng = np.random.default_rng(7)
+    u, s, y, d = rng.normal(size=(3000, 4)), rng.normal(size=3000), rng.integers(0, 2, 3000), rng.normal(size=(5, 4)) * 0.02
+    series = models.Series(4)
+    sums = series.sums(u, s, y)
+    grad, hess = series.at(series.split(sums), d)
+    for g, h, at, rest in zip(grad, hess, d, series.rest(sums[-1], d), strict=True):
+        p = 1 / (1 + np.exp(-s - u @ at))
+        assert 0 < np.linalg.norm(g - u.T @ (p - y)) < rest < 1e-3
+        assert np.allclose(h, (u * (p * (1 - p))[:, None]).T @ u, atol=1e-3)
