@@ -197,30 +197,23 @@ def _many_subjects(spark, n=600):
 
 
 def test_many_folds_meet_their_own_rows_only(spark, monkeypatch):
-    rows, works, given = _many_subjects(spark), [], models.passed
-    monkeypatch.setattr(models, "passed", lambda d, work, reps: works.append(work) or given(d, work, reps))
-    near = {r["window_id"]: r["score"] for r in models.loso_logreg(rows, ["f1", "f2"]).collect()}
-    block = models.Block(np.zeros(3, np.int64), np.zeros((3, 1), int), np.ones((3, 2)))
-    assert max(sum(1 for _ in work(block)) for work in works) == 1  # of 601 folds in three blocks
-    monkeypatch.setattr(models, "MANY", 10_000)
-    assert near == pytest.approx({r["window_id"]: r["score"] for r in models.loso_logreg(rows, ["f1", "f2"]).collect()}, abs=1e-9)
-
-
-def test_folds_far_from_the_whole_meet_all_rows(spark, monkeypatch):
-    far, given = [], models.Logistic._near
+    works, far, given, found = [], [], models.passed, models.Logistic._near
 
     def near(self, w):
-        far.append((yield from given(self, w)))
+        far.append((yield from found(self, w)))
         return far[-1]
 
+    monkeypatch.setattr(models, "passed", lambda d, work, reps: works.append(work) or given(d, work, reps))
     monkeypatch.setattr(models.Logistic, "_near", near)
-    views = {"both": ["f2", "f1"], "one": ["f1"]}
-    got = {(r["view"], r["window_id"]): r["score"] for r in models.loso_logregs(_many_subjects(spark), views).collect()}
-    assert all(0 in f and len(f) < 300 for f in far) and len(far) == 2  # 'far' is the first subject
+    d = models.design(_many_subjects(spark), ["f1", "f2"], "subject", "window_id", "y")
+    fit = lambda: models.together(d, [models.Logistic(d, columns=c).fitting(None) for c in ([1, 0], [0])], None)
+    got = fit()
+    block = models.Block(np.ones(3, np.int64), np.zeros((3, 1), int), np.ones((3, 2)))
+    assert max(sum(1 for _ in work(block)) for work in works) == 2  # of two views, and 601 folds in three blocks each
+    assert len(far) == 2 and all(0 in f and len(f) < 200 for f in far)  # the first subject is 'far': its fold meets all rows
     monkeypatch.setattr(models, "MANY", 10_000)
-    for view, names in views.items():
-        want = {(view, r["window_id"]): r["score"] for r in models.loso_logreg(_many_subjects(spark), names).collect()}
-        assert {k: v for k, v in got.items() if k[0] == view} == pytest.approx(want, abs=1e-9)
+    for view, want in zip(got, fit(), strict=True):
+        assert view.shape[:2] == (1, 601) and np.allclose(view, want, atol=1e-9)
 
 
 def test_series_is_the_sum_up_to_its_bound():
